@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import entity_match, nearest_time
+from tallyloom.llm import entity_match, leakage, nearest_time, packing, pii
 from tallyloom.operators.instants import resolve_instants
 
 
@@ -33,4 +33,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_matches(spark, d).select("order_uid", "payment_uid")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_matches": p5_matches}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in containers of 4,096 tokens."""
+    return packing.pack(packing.token_counts(_table(spark, d, "documents")))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, with the words covered and the share of them found."""
+    return leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("item_id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information in documents, distinct."""
+    return pii.find_pii(_table(spark, d, "documents")).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p9_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with placeholders for personal information."""
+    documents = _table(spark, d, "documents")
+    return pii.replace_pii(documents, pii.find_pii(documents)).select("doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_matches, p7_containers, p8_found, p8_leaks, p9_found, p9_replaced)}
