@@ -33,8 +33,9 @@ LOOK_ALIKE = str.maketrans(
 )
 _MARKUP = re.compile(r"</?(?:b|i|u|em|strong|sub|sup|span|font|a|tt|mark)(?: [^<>]{0,80})?>", re.I)
 _TAG = re.compile(r"<[^<>\n]{1,80}>|&(?:nbsp|amp|lt|gt|quot|shy|zwnj);|\\(?:textbf|textit|emph|mathrm|text)\b")
-_HIDDEN = re.compile("[­​-‏⁠﻿]")
-_BREAK = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n\s*(?=[^\W\d_])")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_SEEN_HIDDEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+_BREAK = re.compile(r"[-‐‑][^\S\n]*\n\s*(?=[^\W\d_])")
 _FOREIGN = re.compile("[Ͱ-ԯ]")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -42,10 +43,12 @@ _WORD = re.compile(r"[^\W_]+")
 def words_of(text: str) -> list[str]:
     """Comparable words of a text."""
     if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+        text = unicodedata.normalize("NFKC", text)
+        if any(c in text for c in _SEEN_HIDDEN):
+            text = _HIDDEN.sub("", text)
     if "<" in text or "&" in text or "\\" in text:
         text = _TAG.sub(" ", _MARKUP.sub("", text))
-    if "-" in text or "‐" in text:
+    if "-\n" in text or "- \n" in text or "‐" in text or "‑" in text:
         text = _BREAK.sub("", text)
     text = text.lower()
     if not text.isascii() and _FOREIGN.search(text):
@@ -77,7 +80,8 @@ def winnow(h: np.ndarray, w: int = WINDOW) -> np.ndarray:
     if len(h) <= w:
         return np.array([len(h) - 1 - int(np.argmin(h[::-1]))]) if len(h) else np.zeros(0, int)
     views = np.lib.stride_tricks.sliding_window_view(h, w)
-    return np.unique(np.arange(len(views)) + (w - 1 - np.argmin(views[:, ::-1], axis=1)))
+    at = np.arange(len(views)) + (w - 1 - np.argmin(views[:, ::-1], axis=1))
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]  # positions never go back
 
 
 class TestSet:
@@ -121,37 +125,31 @@ class TestSet:
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment (match 1, else -2): first and last item word it covers and the number of matches."""
+    """Best local alignment (match 1, else -2): first and last item word it covers and the number of matches.
+
+    A cell holds score, matches and first word packed in one integer, so that one maximum carries all three.
+    """
     n, m = len(item), len(doc)
-    prev = np.zeros(m + 1)
-    best = (0.0, 0, -1, 0)
-    prev_s, prev_c = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-    step = np.arange(m + 1) * 2.0
+    unit, many = np.int64(1 << 24), np.int64(1 << 12)
+    hit = np.where(doc[None, :] == item[:, None], unit + many, -2 * unit)
+    prev = np.zeros(m + 1, np.int64)
+    step = np.arange(m + 1, dtype=np.int64) * (2 * unit)
+    best, where = np.int64(0), -1
+    cur = np.zeros(m + 1, np.int64)
     for i in range(n):
-        hit = doc == item[i]
-        diag = prev[:-1] + np.where(hit, 1.0, -2.0)
-        ds = np.where(prev[:-1] > 0, prev_s[:-1], i)
-        dc = np.where(prev[:-1] > 0, prev_c[:-1], 0) + hit
-        up = prev[1:] - 2.0
-        take = up > diag
-        cur, s, c = np.zeros(m + 1), np.full(m + 1, i), np.zeros(m + 1, np.int64)
-        cur[1:] = np.where(take, up, diag)
-        s[1:] = np.where(take, prev_s[1:], ds)
-        c[1:] = np.where(take, prev_c[1:], dc)
-        # insertions: the best of what lies to the left, less 2 a word
-        lifted = cur + step
-        top = np.maximum.accumulate(lifted)
-        src = np.maximum.accumulate(np.where(lifted >= top, np.arange(m + 1), 0))
-        gain = top - step
-        use = gain > cur
-        cur = np.where(use, gain, cur)
-        s, c = np.where(use, s[src], s), np.where(use, c[src], c)
-        cur = np.maximum(cur, 0.0)
-        j = int(np.argmax(cur))
-        if cur[j] > best[0]:
-            best = (float(cur[j]), int(s[j]), i, int(c[j]))
-        prev, prev_s, prev_c = cur, s, c
-    return best[1], best[2], best[3]
+        fresh = np.int64(n - i)  # an alignment that begins here; an earlier first word sorts higher
+        np.add(np.where(prev[:-1] >= unit, prev[:-1], fresh), hit[i], out=cur[1:])
+        cur[0] = 0
+        np.maximum(cur, prev - 2 * unit, out=cur)
+        cur = np.maximum.accumulate(cur + step) - step  # inserted words
+        top = cur.max()
+        if top > best:
+            best, where = top, i
+        prev = cur
+        cur = np.zeros(m + 1, np.int64)
+    if where < 0 or best < unit:
+        return 0, -1, 0
+    return n - int(best & (many - 1)), where, int((best >> 12) & 0xFFF)
 
 
 def hits_of(texts: list[str], tests: TestSet) -> list[tuple[int, int, int, float]]:
