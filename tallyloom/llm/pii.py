@@ -36,9 +36,11 @@ _W = rf"[{_U}][^\W\d_]{{2,}}"
 _PARTICLE = r"(?:von|van|de|la|del|della|der|den|di|da|dos|du|zu|ten|ter|el|al|bin|ibn)"
 _FAMILY = rf"{_W}(?:-{_W})?"
 _INITIALS = rf"[{_U}]\.(?:{_WS}?[{_U}]\.)*"
+# first letters are outside the groups, so that the search can skip to capitals
 _NAME = re.compile(
-    rf"(?<![\w.°-])(?:(?P<g>{_W}|{_INITIALS}){_WS}(?:{_PARTICLE}(?:{_WS}|(?<=al)-|(?<=el)-))*(?P<f>{_FAMILY})|(?P<f2>(?:{_PARTICLE}{_WS})*{_FAMILY}),{_WS}(?P<g2>{_W}|{_INITIALS}))(?![\w])"
+    rf"[{_U}](?:(?P<g>[^\W\d_]{{2,}}|\.(?:{_WS}?[{_U}]\.)*){_WS}(?:{_PARTICLE}(?:{_WS}|(?<=al)-|(?<=el)-))*(?P<f>{_FAMILY})|(?P<f2>[^\W\d_]{{2,}}(?:-{_W})?),{_WS}(?P<g2>{_W}|{_INITIALS}))(?![\w])"
 )
+_BEFORE = re.compile(rf"(?<![\w.-])(?:{_PARTICLE}{_WS})+\Z")
 _MISTER = re.compile(rf"[^\S\n]+(?:{_PARTICLE}{_WS}|al-|el-)*{_W}|,{_WS}{_W}(?=,|{_WS}[^\W\d_A-Z])|(?:-{_W})?, titulaire")
 _EMAIL_HINT = re.compile(r"@|[(\[{]\s?[aA][tT]\s?[)\]}]")
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|DOT)\s?[)\]}]\s?)"
@@ -60,7 +62,10 @@ _ADDRESS = re.compile(
     rf"|\d{{1,5}}[A-Za-z]?{_WS}(?:(?:North|South|East|West|[NSEW]\.){_WS})?{_W}(?:{_WS}{_W})?{_WS}(?P<st>{_STREET})(?![\w]))"
     rf"{_FLAT}?(?:,{_WS}?{_AREA}|\n[^\S\n]*{_AREA}(?=\s*(?:[.,;)\n]|$)))?(?![\w])"
 )
-_ADDRESS_HINT = re.compile(r"\d{4,6}|Box|Postfach|Plot|bis|rue|Calle|str|gasse|weg|Street|St\b|Road|Ave|Lane|Crescent|Blvd|Drive|Dr\.")
+_CUES = ("Box", "Postfach", "Apartado", "B.P.", "Plot", "Unit", "Flat", "House", " rue ", " avenue ", " boulevard ", " place ", " chemin ", "allée ", "allee ", " quai ", "Calle", "Avenida", "Avda.", "Plaza", "Paseo", "Camino", "Via ", "Viale",
+         "straße", "strasse", "str.", "gasse", "weg ", "platz ", "ring ", "damm ", "ufer ", "Street", " St", "Road", " Rd", "Avenue", "Ave", "Lane", " Ln", "Crescent", "Drive", " Dr", "Boulevard", "Blvd", " Way", "Court", " Ct", "Place", "Square", "Close", "Terrace")
+_DIGITS = re.compile(r"\d[\d\s().\-/]{4,}\d")
+_AT = ("@", "(at", "[at", "{at", "( at", "[ at", "(AT", "[AT", "{AT", "( AT", "[ AT")
 _TOKEN = re.compile(r"[^\W\d_]+\.?|\d|[^\w\s]")
 _TITLES = {"dr.", "prof.", "ms.", "mr.", "mrs.", "ing.", "m.", "mme", "sr.", "sra.", "herr", "frau", "dipl.-"}
 
@@ -91,7 +96,7 @@ def candidates(text: str) -> list[tuple]:
 
     taken: list[tuple[int, int]] = []
     last = 0
-    for h in _EMAIL_HINT.finditer(text):
+    for h in _EMAIL_HINT.finditer(text) if any(x in text for x in _AT) else ():
         if h.start() < last:
             continue
         lo = max(last, h.start() - 70)
@@ -99,15 +104,33 @@ def candidates(text: str) -> list[tuple]:
             last = m.end()
             taken.append(m.span())
             add("email", *m.span(), "plain" if " " not in m.group() and "@" in m.group() else "spelt", "", "EMAIL")
-    for m in _ADDRESS.finditer(text):
+    spots = []
+    for cue in _CUES:
+        q = text.find(cue)
+        while q >= 0:
+            spots.append(q)
+            q = text.find(cue, q + 1)
+    last = 0
+    for q in sorted(spots):
+        if q < last:
+            continue
+        m = _ADDRESS.search(text, max(last, q - 48), min(len(text), q + 160))
+        if not m:
+            continue
+        m = _ADDRESS.match(text, m.start(), min(len(text), m.start() + 200)) or m  # not cut by the window
+        last = m.end()
         kind = next(k for k in ("box", "plot", "rue", "calle", "str", "st") if m.group(k))
         taken.append(m.span())
         word = fold(m.group(kind))
         add("address", *m.span(), f"w:{word}", "", "ADDRESS" if kind in ("box", "rue", "st", "str") else None)
     taken.sort()
     at = 0
-    for m in _NUMBER.finditer(text):
+    last = 0
+    for m in (x for d in _DIGITS.finditer(text) for x in _NUMBER.finditer(text, max(0, d.start() - 6), min(len(text), d.end() + 6))):
         a, b = m.span()
+        if a < last:
+            continue
+        last = b
         while at < len(taken) and taken[at][1] <= a:
             at += 1
         if at < len(taken) and taken[at][0] < b:
@@ -122,17 +145,23 @@ def candidates(text: str) -> list[tuple]:
     at = pos = 0
     while m := _NAME.search(text, pos):
         a, b = m.span()
+        if a and (text[a - 1].isalnum() or text[a - 1] in "_.°-"):
+            pos = a + 1
+            continue
         pos = b
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if at < len(taken) and taken[at][0] < b:
-            continue
-        if m.group("g") and m.group("g").endswith("M.") and _MISTER.match(text, b):  # a title, not an initial
+        first = m.group("g")
+        given, family = (text[a : m.end("g")], m.group("f")) if first else (m.group("g2"), text[a : m.end("f2")])
+        if first and given.endswith("M.") and _MISTER.match(text, b):  # a title, not an initial
             pos = m.end("g")
             continue
-        if m.group("g"):  # the first word may only begin a sentence: the name may start at the second
+        if first:  # the first word may only begin a sentence: the name may start at the second
             pos = m.start("f")
-        given, family = m.group("g") or m.group("g2"), m.group("f") or m.group("f2")
+        elif before := _BEFORE.search(text, max(0, a - 16), a):
+            a = before.start()
+        if at < len(taken) and taken[at][0] < b:
+            continue
         g = "#" if given[1] == "." else fold(given)
         add("name", a, b, f"g:{g}", f"f:{fold(family).split('-')[-1].split()[-1]}")
     return out
