@@ -48,7 +48,7 @@ def read_time(c: Column) -> Column:
 
 
 def is_refund(status: Column, signed_minor: Column) -> Column:
-    return F.lower(F.coalesce(status, F.lit(""))).isin(*REFUNDED) | (signed_minor < 0)
+    return F.lower(F.coalesce(status, F.lit(""))).isin(*REFUNDED) | F.coalesce(signed_minor < 0, F.lit(False))
 
 
 def is_failed(status: Column) -> Column:

@@ -16,7 +16,7 @@ ROWS_A_BITMAP = 32_768
 #: Bitmaps (4 KB each) that one read holds in memory; more files are read in several groups.
 BITMAPS_A_READ = 8_192
 
-_FILE, _ROW = "_place_file", "_place_row"
+_FILE, _ROW = "__place_file", "__place_row"
 
 
 def placed(df: DataFrame) -> DataFrame:
@@ -54,15 +54,15 @@ def apply_vectors(rows: DataFrame, vectors: DataFrame, dropped: bool = False) ->
         groups[-1].append(f)
         held += n
     bucket, bit = F.expr(f"{_ROW} div {ROWS_A_BITMAP}"), F.expr(f"cast({_ROW} % {ROWS_A_BITMAP} as int)")
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.expr("1 + _bit div 8").cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = F.coalesce(F.expr("shiftright(_byte, _bit % 8) & 1") == 1, F.lit(False))
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.expr("1 + __bit div 8").cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.expr("shiftright(__byte, __bit % 8) & 1") == 1, F.lit(False))
     out = None
     for g in groups:
         part, mine = rows, vectors
         if len(groups) > 1:
             part, mine = rows.where(F.col(_FILE).isin(g)), vectors.where(F.col("file").isin(g))
-        joined = part.withColumn("_bucket", bucket).join(F.broadcast(mine.select(F.col("file").alias("_file"), F.col("bucket").alias("_b"), "bitmap")), (F.col(_FILE) == F.col("_file")) & (F.col("_bucket") == F.col("_b")), "inner" if dropped else "left")
-        joined = joined.withColumn("_bit", bit).withColumn("_byte", byte).where(marked if dropped else ~marked).select(*rows.columns)
+        joined = part.withColumn("__bucket", bucket).join(F.broadcast(mine.select(F.col("file").alias("__file"), F.col("bucket").alias("__b"), F.col("bitmap").alias("__bitmap"))), (F.col(_FILE) == F.col("__file")) & (F.col("__bucket") == F.col("__b")), "inner" if dropped else "left")
+        joined = joined.withColumn("__bit", bit).withColumn("__byte", byte).where(marked if dropped else ~marked).select(*rows.columns)
         out = joined if out is None else out.unionByName(joined)
     if len(groups) > 1 and not dropped:
         out = out.unionByName(rows.where(~F.col(_FILE).isin([f for f, _ in files])))
@@ -74,7 +74,8 @@ def redelivered(spark: SparkSession, path: str, columns: list[str] | None = None
 
     Rows are one message if key agrees after trimming and ignoring case and has a digit. The earliest order stays, then
     the least tie, then the first in file order (so exact repeats keep one row). Null, blank and digitless keys are all
-    kept. An empty table gives an empty result. Other columns pass through as they are.
+    kept. An empty table gives an empty result. Other columns pass through as they
+    are; names that start with two underscores are reserved.
     """
     table = spark.read.parquet(path)
     vectors = cut(deletion_vectors(placed(table.select(*dict.fromkeys([key, order, tie]))), message_key(F.col(key)), order, tie))
