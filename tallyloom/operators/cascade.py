@@ -23,6 +23,10 @@ NARROW = ("record_uid", "txn_id", "order_id", "ref_digits", "merchant_id", "curr
 # The weight of each kind of evidence; as decimals, so that sums are exact.
 WEIGHTS = {"exact_txn_id": "0.40", "exact_order_id": "0.25", "exact_amount": "0.20", "reference_digits": "0.05", "same_merchant": "0.05", "within_window": "0.05"}
 
+#: Pending sides are written anew once the links since the last time reach this share of them.
+REWRITE = 1.0
+ONE_PARTITION = 20_000
+
 
 def _l(c: str) -> Column:
     return F.col(f"l_{c}")
@@ -135,31 +139,34 @@ PAYMENT_SETTLEMENT = (
 )
 
 
-def candidates(left: DataFrame, right: DataFrame, rule: Rule, offset: int, config: EngineConfig, window_sec: int) -> DataFrame:
+def _terms(rule: Rule, config: EngineConfig, window_sec: int) -> tuple[Column, list[Column]]:
+    """What a rule keeps and what it makes of a pair. Built once for all of a rule's offsets, as each column costs calls."""
+    out = [_l("record_uid").alias("left_uid"), _r("record_uid").alias("right_uid"), F.lit(rule.stage).alias("stage"), F.lit(rule.name).alias("rule"), score(rule.evidence, config, window_sec).alias("confidence"), (_l("amount_minor") - _r("amount_minor")).alias("amount_delta_minor"), seconds_between().alias("time_delta_sec")]
+    return rule.keep(config), out
+
+
+def candidates(left: DataFrame, right: DataFrame, rule: Rule, offset: int, config: EngineConfig, window_sec: int, terms: tuple[Column, list[Column]] | None = None) -> DataFrame:
     """All pairs that satisfy the rule, with deltas and confidence."""
     a = rule.left(left.select(*NARROW))
     b = rule.right(right.select(*NARROW))
-    a, b = (x.select(*[F.col(c).alias(f"{p}_{c}") for c in x.columns]) for x, p in ((a, "l"), (b, "r")))
-    on = [F.col(f"l_{x}") == F.col(f"r_{y}") for x, y in rule.keys]
+    a, b = (x.toDF(*[f"{p}_{c}" for c in x.columns]) for x, p in ((a, "l"), (b, "r")))
+    on = " and ".join(f"l_{x} = r_{y}" for x, y in rule.keys)
     if rule.day_sign:
-        on.append(F.date_add(F.col("l_day_bucket"), rule.day_sign * offset) == F.col("r_day_bucket"))
-    pairs = a.join(b, reduce(lambda p, q: p & q, on)).where(rule.keep(config))
-    return pairs.select(_l("record_uid").alias("left_uid"), _r("record_uid").alias("right_uid"), F.lit(rule.stage).alias("stage"), F.lit(rule.name).alias("rule"), score(rule.evidence, config, window_sec).alias("confidence"), (_l("amount_minor") - _r("amount_minor")).alias("amount_delta_minor"), seconds_between().alias("time_delta_sec"))
+        on += f" and date_add(l_day_bucket, {rule.day_sign * offset}) = r_day_bucket"
+    keep, out = terms or _terms(rule, config, window_sec)
+    return a.join(b, F.expr(on)).where(keep).select(*out)
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
     """Pairs that are the best of both their sides: confidence, then amount, then time (missing last), then the other uid."""
 
-    def rank(own: str, other: str) -> Column:
-        w = Window.partitionBy(own).orderBy(F.col("confidence").desc(), F.abs("amount_delta_minor"), F.abs("time_delta_sec").asc_nulls_last(), F.col(other))
-        return F.row_number().over(w)
-
-    return pairs.withColumn("_a", rank("left_uid", "right_uid")).withColumn("_b", rank("right_uid", "left_uid")).where("_a = 1 and _b = 1").drop("_a", "_b")
+    best = "row_number() over (partition by {} order by confidence desc, abs(amount_delta_minor), abs(time_delta_sec) nulls last, {}) as {}"
+    return pairs.selectExpr("*", best.format("left_uid", "right_uid", "_a"), best.format("right_uid", "left_uid", "_b")).where("_a = 1 and _b = 1").drop("_a", "_b")
 
 
-def single_pass(left: DataFrame, right: DataFrame, rule: Rule, offset: int = 0, config: EngineConfig = CONFIG, window_sec: int | None = None) -> DataFrame:
+def single_pass(left: DataFrame, right: DataFrame, rule: Rule, offset: int = 0, config: EngineConfig = CONFIG, window_sec: int | None = None, terms: tuple[Column, list[Column]] | None = None) -> DataFrame:
     """The rule's mutual bests over whole legs."""
-    return mutual_best(candidates(left, right, rule, offset, config, window_sec or config.window_sec))
+    return mutual_best(candidates(left, right, rule, offset, config, window_sec or config.window_sec, terms))
 
 
 def run_cascade(left: DataFrame, right: DataFrame, rules: tuple[Rule, ...], exclude_left: DataFrame | None = None, config: EngineConfig = CONFIG, window_sec: int | None = None) -> tuple[DataFrame, list[tuple[str, str, int, int]]]:
@@ -173,22 +180,35 @@ def run_cascade(left: DataFrame, right: DataFrame, rules: tuple[Rule, ...], excl
     if exclude_left is not None:
         a = a.join(exclude_left.select("record_uid").distinct(), "record_uid", "left_anti")
     links, stats = spark.createDataFrame([], LINKS), []
-    done = a.isEmpty() or b.isEmpty()
+    n_a, n_b = a.count(), b.count()
+    since, linked = None, 0  # links made since the pending sides were last written
     for rule in rules:
+        terms = _terms(rule, config, window_sec or config.window_sec)
         for offset in rule.offsets:
             n = 0
-            if not done:
-                new = cut(single_pass(a, b, rule, offset, config, window_sec))
+            if n_a and n_b:
+                new = cut(single_pass(_without(a, since, "left_uid"), _without(b, since, "right_uid"), rule, offset, config, window_sec, terms))
                 n = new.count()
             stats.append((rule.stage, rule.name, offset, n))
             if n:
                 links = links.unionByName(new)
-                a = cut(a.join(new.select(F.col("left_uid").alias("record_uid")), "record_uid", "left_anti"))
-                b = cut(b.join(new.select(F.col("right_uid").alias("record_uid")), "record_uid", "left_anti"))
-                done = a.isEmpty() or b.isEmpty()
+                since = new if since is None else since.unionByName(new)
+                n_a, n_b, linked = n_a - n, n_b - n, linked + n
+                if linked >= REWRITE * min(n_a, n_b) and n_a and n_b:
+                    a, b = _written(_without(a, since, "left_uid"), n_a), _written(_without(b, since, "right_uid"), n_b)
+                    since, linked = None, 0
     return links, stats
 
 
+def _without(side: DataFrame, links: DataFrame | None, uid: str) -> DataFrame:
+    return side if links is None else side.join(links.select(F.col(uid).alias("record_uid")), "record_uid", "left_anti")
+
+
+def _written(side: DataFrame, rows: int) -> DataFrame:
+    """A pending side written to the shared folder, in one partition if it is so small that exchanges would cost more."""
+    return cut(side.coalesce(1) if rows <= ONE_PARTITION else side)
+
+
 def stats_frame(spark, op: list, ps: list) -> DataFrame:
     rows = [("order_payment", *x) for x in op] + [("payment_settlement", *x) for x in ps]
     return spark.createDataFrame(rows, "leg string, stage string, rule string, day_offset int, matched bigint")

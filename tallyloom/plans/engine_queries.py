@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tallyloom.config import CONFIG
 from tallyloom.functions.money import minor_units, rupees
 from tallyloom.operators import cascade, cases, duplicates, normalize, reports
 from tallyloom.plans import legs
-from tallyloom.session import cut
+from tallyloom.session import checkpoint_dir, cut
 from tallyloom.sources.export import flattened
 
 
@@ -31,10 +33,13 @@ _RUNS: dict[tuple[str, str], Run] = {}
 
 
 def reconcile(orders: DataFrame, payments: DataFrame, settlements: DataFrame) -> Run:
-    """The whole pass over three canonical legs: repeats, both cascades and cases."""
-    repeats = cut(duplicates.repeated_payments(payments))
-    op, op_stats = cascade.run_cascade(orders, payments, cascade.ORDER_PAYMENT)
-    ps, ps_stats = cascade.run_cascade(payments, settlements, cascade.PAYMENT_SETTLEMENT, exclude_left=repeats, window_sec=CONFIG.settlement_sec)
+    """The whole pass over three canonical legs: repeats, both cascades and cases. The cascades don't depend on each other and run side by side."""
+    checkpoint_dir(orders.sparkSession)
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(inheritable_thread_target(orders.sparkSession)(cascade.run_cascade), orders, payments, cascade.ORDER_PAYMENT)
+        repeats = cut(duplicates.repeated_payments(payments))
+        ps, ps_stats = cascade.run_cascade(payments, settlements, cascade.PAYMENT_SETTLEMENT, exclude_left=repeats, window_sec=CONFIG.settlement_sec)
+        op, op_stats = first.result()
     stats = cascade.stats_frame(orders.sparkSession, op_stats, ps_stats)
     return Run(orders, payments, settlements, repeats, op, ps, stats, cut(cases.build_cases(orders, payments, settlements, op, ps, repeats)))
 

@@ -1,0 +1,13 @@
+"""Reproducible order tables of any size; the legs and the truth derive from them (plans.legs)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def generate_orders(spark: SparkSession, n: int, seed: int = 42, customers: int = 10_000, days: int = 365) -> DataFrame:
+    """n rows of o_orderkey (0, 1, ...), o_custkey, o_totalprice and o_orderdate, from hashes of seed and key: rows don't depend on partitions."""
+    draw = lambda salt, size: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(size))
+    price = (draw("price", 49_900_000) + 100_000) / 100
+    return spark.range(n).select(F.col("id").alias("o_orderkey"), draw("customer", customers).alias("o_custkey"), price.alias("o_totalprice"), F.timestamp_seconds(F.lit(1_767_225_600) + draw("day", days) * 86_400).cast("timestamp_ntz").alias("o_orderdate"))
