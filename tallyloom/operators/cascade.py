@@ -8,7 +8,7 @@ least uid. Only narrow columns take part; new links are written to the shared fo
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,7 +58,8 @@ class Rule:
     #: Prepares a side: adds or filters key columns.
     left: Callable[[DataFrame], DataFrame] = lambda df: df
     right: Callable[[DataFrame], DataFrame] = lambda df: df
-    extra: dict = field(default_factory=dict)
+    #: The keys are ids, of which each row has one: ranks then run in the join's own partitions.
+    by_id: bool = False
 
 
 def score(evidence: tuple[str, ...], config: EngineConfig, window_sec: int) -> Column:
@@ -114,10 +115,10 @@ _ID = ("exact_amount", "same_merchant", "within_window")
 _MC = (("merchant_id", "merchant_id"), ("currency", "currency"))
 
 ORDER_PAYMENT = (
-    Rule("L1", "exact_transaction_id", (("txn_id", "txn_id"),), ("exact_txn_id", *_ID), left=_filled("txn_id"), right=_filled("txn_id")),
-    Rule("L3", "order_id_and_amount", (("order_id", "order_id"),), ("exact_order_id", *_ID), keep=_near_amount, left=_filled("order_id"), right=_filled("order_id")),
-    Rule("L4", "order_id_within_window", (("order_id", "order_id"),), ("exact_order_id", *_ID), keep=_in_window, left=_filled("order_id"), right=_filled("order_id")),
-    Rule("L2", "reference_digits_and_amount", (("ref_digits", "ref_digits"),), ("reference_digits", *_ID), keep=_near_amount, left=_long_digits, right=_long_digits),
+    Rule("L1", "exact_transaction_id", (("txn_id", "txn_id"),), ("exact_txn_id", *_ID), left=_filled("txn_id"), right=_filled("txn_id"), by_id=True),
+    Rule("L3", "order_id_and_amount", (("order_id", "order_id"),), ("exact_order_id", *_ID), keep=_near_amount, left=_filled("order_id"), right=_filled("order_id"), by_id=True),
+    Rule("L4", "order_id_within_window", (("order_id", "order_id"),), ("exact_order_id", *_ID), keep=_in_window, left=_filled("order_id"), right=_filled("order_id"), by_id=True),
+    Rule("L2", "reference_digits_and_amount", (("ref_digits", "ref_digits"),), ("reference_digits", *_ID), keep=_near_amount, left=_long_digits, right=_long_digits, by_id=True),
     Rule("L2", "order_id_inside_reference", (("piece", "ref_digits"),), ("reference_digits", *_ID), keep=_in_window, left=_runs, right=_filled("ref_digits")),
     Rule(
         "L5", "blocked_merchant_amount_day", (*_MC, ("bucket", "bucket")), _ID,
@@ -128,9 +129,9 @@ ORDER_PAYMENT = (
 )
 
 PAYMENT_SETTLEMENT = (
-    Rule("L1", "exact_transaction_id", (("txn_id", "txn_id"),), ("exact_txn_id", "exact_amount", "same_merchant"), left=_filled("txn_id"), right=_filled("txn_id")),
-    Rule("L2", "reference_digits", (("ref_digits", "ref_digits"),), ("reference_digits", "exact_amount", "same_merchant"), left=_long_digits, right=_long_digits),
-    Rule("L3", "order_id", (("order_id", "order_id"),), ("exact_order_id", "exact_amount", "same_merchant"), left=_filled("order_id"), right=_filled("order_id")),
+    Rule("L1", "exact_transaction_id", (("txn_id", "txn_id"),), ("exact_txn_id", "exact_amount", "same_merchant"), left=_filled("txn_id"), right=_filled("txn_id"), by_id=True),
+    Rule("L2", "reference_digits", (("ref_digits", "ref_digits"),), ("reference_digits", "exact_amount", "same_merchant"), left=_long_digits, right=_long_digits, by_id=True),
+    Rule("L3", "order_id", (("order_id", "order_id"),), ("exact_order_id", "exact_amount", "same_merchant"), left=_filled("order_id"), right=_filled("order_id"), by_id=True),
     Rule(
         "L5", "blocked_merchant_net_of_fee", _MC, ("same_merchant", "within_window"),
         keep=lambda c: (_r("amount_minor") <= _l("amount_minor") + c.amount_tolerance) & (_r("amount_minor") >= _l("amount_minor") - _l("amount_minor") / 10) & seconds_between().between(0, c.settlement_sec) & ~contradicted(),
@@ -154,14 +155,16 @@ def candidates(left: DataFrame, right: DataFrame, rule: Rule, offset: int, confi
     if rule.day_sign:
         on += f" and date_add(l_day_bucket, {rule.day_sign * offset}) = r_day_bucket"
     keep, out = terms or _terms(rule, config, window_sec)
-    return a.join(b, F.expr(on)).where(keep).select(*out)
+    key = [F.col(f"l_{rule.keys[0][0]}").alias("_key")] if rule.by_id else []
+    return a.join(b, F.expr(on)).where(keep).select(*out, *key)
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
     """Pairs that are the best of both their sides: confidence, then amount, then time (missing last), then the other uid."""
 
+    key = "_key, " if "_key" in pairs.columns else ""  # a uid has one key, so this divides pairs as the uid alone does
     best = "row_number() over (partition by {} order by confidence desc, abs(amount_delta_minor), abs(time_delta_sec) nulls last, {}) as {}"
-    return pairs.selectExpr("*", best.format("left_uid", "right_uid", "_a"), best.format("right_uid", "left_uid", "_b")).where("_a = 1 and _b = 1").drop("_a", "_b")
+    return pairs.selectExpr("*", best.format(f"{key}left_uid", "right_uid", "_a"), best.format(f"{key}right_uid", "left_uid", "_b")).where("_a = 1 and _b = 1").drop("_a", "_b", "_key")
 
 
 def single_pass(left: DataFrame, right: DataFrame, rule: Rule, offset: int = 0, config: EngineConfig = CONFIG, window_sec: int | None = None, terms: tuple[Column, list[Column]] | None = None) -> DataFrame:
