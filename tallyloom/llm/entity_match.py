@@ -100,18 +100,29 @@ def candidate_pairs(payments: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def _log_density(mean: dict, var: dict) -> Column:
-    total = F.lit(0.0)
+def _log_density(k: int) -> Column:
+    total = F.col(f"w{k}")
     for f in FEATURES:
-        z = F.col(f)
-        total = total + F.when(z.isNull(), 0.0).otherwise(-0.5 * ((z - mean[f]) * (z - mean[f]) / var[f] + math.log(2 * math.pi * var[f])))
+        z, mean, half, norm = F.col(f), F.col(f"m{k}_{f}"), F.col(f"h{k}_{f}"), F.col(f"n{k}_{f}")
+        total = total + F.when(z.isNull(), 0.0).otherwise(norm - (z - mean) * (z - mean) * half)
     return total
 
 
-def _scored(pairs: DataFrame, model: list[dict]) -> DataFrame:
-    """pairs with each component's responsibility and the posterior g after competition."""
+def _model_table(spark, model: list[dict]) -> DataFrame:
+    """The mixture as one row. As literals its numbers would be compiled into new code in every iteration."""
+    row = {"_fold": 0}
     for k, c in enumerate(model):
-        pairs = pairs.withColumn(f"l{k}", F.lit(math.log(c["weight"])) + _log_density(c["mean"], c["var"]))
+        row[f"w{k}"] = math.log(c["weight"])
+        for f in FEATURES:
+            row |= {f"m{k}_{f}": float(c["mean"][f]), f"h{k}_{f}": 0.5 / c["var"][f], f"n{k}_{f}": -0.5 * math.log(2 * math.pi * c["var"][f])}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {'int' if c == '_fold' else 'double'}" for c in row))
+
+
+def _scored(pairs: DataFrame, model: list[dict]) -> DataFrame:
+    """pairs with each component's responsibility and the posterior g after competition. pairs has a column fold, always 0."""
+    table = F.broadcast(_model_table(pairs.sparkSession, model))  # one row
+    pairs = pairs.join(table, F.col("fold") == F.col("_fold"))
+    pairs = pairs.select("payment_uid", "order_uid", *FEATURES, *[_log_density(k).alias(f"l{k}") for k in range(4)])
     top = F.greatest("l0", "l1", "l2", "l3")
     e = [F.exp(F.col(f"l{k}") - F.col("top")) for k in range(4)]
     pairs = staged(pairs, {"top": top})
@@ -163,7 +174,7 @@ def match(payments: DataFrame, orders: DataFrame, least: float = 0.5, rounds: in
     Ties go to the least order, then the least payment. Repeated uids count once. Empty sides, or no pair in any block,
     give no rows.
     """
-    pairs = cut(candidate_pairs(payments.dropDuplicates(["uid"]), orders.dropDuplicates(["uid"])).distinct())
+    pairs = cut(candidate_pairs(payments.dropDuplicates(["uid"]), orders.dropDuplicates(["uid"])).distinct().withColumn("fold", F.lit(0)))
     if pairs.isEmpty():
         return pairs.select("order_uid", "payment_uid", F.lit(0.0).alias("confidence")).limit(0)
     left = cut(_scored(pairs, fit(pairs)).where(F.col("g") >= least / 50).select("order_uid", "payment_uid", "odds"))
