@@ -24,6 +24,8 @@ FLOOR = {"s_ref": 0.02**2, "s_amount": 0.08**2, "s_time": 0.15**2, "s_currency":
 SHRINK = 2.0
 ITERATIONS = 6
 HALF_DAY = 43_200_000_000
+#: Part of an order's amount that arrives where the fee is kept back; seen in the data.
+NET_OF_FEE = 0.98
 #: Widest difference of ln(amount + 3000 minor units) that blocking covers.
 AMOUNT_STEP = 0.035
 
@@ -85,7 +87,7 @@ def candidate_pairs(payments: DataFrame, orders: DataFrame) -> DataFrame:
         _amount_block(F.col("amount")).alias("oba"), F.floor(F.col("us") / HALF_DAY).cast("int").alias("obt"),
     )
     pairs = p.join(o, (F.col("bm") == F.col("om")) & (F.col("ba") == F.col("oba")) & (F.col("bt") == F.col("obt")))
-    off = F.least(F.abs(F.col("pa") - F.col("oa")), F.abs(F.col("pa") - F.round(F.col("oa") * 0.98)) + 1)
+    off = F.least(F.abs(F.col("pa") - F.col("oa")), F.abs(F.col("pa") - F.round(F.col("oa") * NET_OF_FEE)) + 1)
     hours = lambda a, b: (F.col(a) - F.col(b)) / 3.6e9
     by_text, by_arrival = hours("pt", "ot"), hours("pr", "orr")
     lag = F.when(by_text.between(0, 2), by_text).when(by_arrival.between(0, 2), by_arrival).when(by_text >= 0, by_text).otherwise(F.greatest(by_text, by_arrival))
