@@ -273,3 +273,7 @@ ORACLES = {
         """select exception_type, coalesce(array_to_string(list_sort(list(distinct op_rule) filter (op_rule is not null)), ' | '), '') as rules, '{"first":"' || min(case_id) || '","last":"' || max(case_id) || '"}' as span from cases group by 1"""
     ),
 }
+# one rule over whole legs; of swept rules the first day offset
+for _tag, _left, _right, _passes in (("op", "legs_o", "legs_p", _OP), ("ps", "legs_p", "legs_s", _PS)):
+    for _p in _passes:
+        ORACLES.setdefault(f"{_tag}_{_p[0]}", _over(_BASE, _pass(_left, _right, _p)))
