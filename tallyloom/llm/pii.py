@@ -1,12 +1,13 @@
 """Problem 9: personal information in free text, by bootstrapped contextual extraction.
 
 One pass over the texts emits candidate spans (e-mail, number, name and address shapes) with the words around them. Seeds
-are what needs no context: plain e-mail addresses, numbers with a country code, identity numbers of published formats,
-street words, and the given and family names that plain e-mail addresses spell. Candidates are counted into a bipartite
-graph of patterns (words before or after) and instances (name parts, number shapes, street words). Spark then scores it
-in rounds: a pattern's confidence in a type is the share of its occurrences held by instances of that type, an
-instance's is the mean of its patterns', seeds stay at one. Spans whose patterns and instances agree are kept, so that
-identifiers no seed resembles are found by where they stand.
+are only what could be nothing else: undisguised e-mail addresses, numbers with a country code, identity numbers of two
+published formats, streets and boxes with a postcode behind them, and the given and family names that e-mail addresses of
+the form given.family@domain spell. Candidates are counted into a bipartite graph of patterns (words before or after) and
+instances (name parts; shapes of numbers and of the local parts of addresses; street words with what follows them). Spark
+scores it in rounds: a pattern's confidence in a type is the share of its occurrences held by instances of that type, an
+instance's is the mean of its patterns'; seeds and what was promoted stay at one, and rounds end when promotions do. Spans
+whose patterns and instances agree are kept, so that identifiers no seed resembles are found by where they stand.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import cut, small
 
-ROUNDS = 4
+#: Rounds end once a round promotes less than this share of the instances that are certain.
+SETTLED = 0.001
 #: Occurrences a pattern or instance is assumed to have besides those seen, all untyped.
 PRIOR = 2.0
 ACCEPT = 0.5
-ACCEPT_NAME = 0.26
+#: A name needs both: its parts known as parts of names and a place where names stand (geometric mean).
+ACCEPT_NAME = 0.4
 #: Mean confidence of an instance's patterns from which it is taken as known.
 PROMOTE = 0.4
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
@@ -52,6 +55,8 @@ _NUMBER = re.compile(
 _STREET = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Crescent|Drive|Dr\.?|Boulevard|Blvd\.?|Way|Court|Ct\.?|Place|Square|Close|Terrace)"
 _TOWN = rf"{_W}(?:[- ]{_W})*"
 _AREA = rf"(?:{_TOWN},?{_WS}(?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s\d[A-Z]{{2}}|[A-Z]{{2}}\s\d{{4,6}}|\d{{4,6}})|\d{{4,6}}{_WS}{_TOWN}|{_TOWN})"
+_CODED = rf"(?:{_TOWN},?{_WS}(?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s\d[A-Z]{{2}}|[A-Z]{{2}}\s\d{{4,6}}|\d{{4,6}})|\d{{4,6}}{_WS}{_TOWN})"  # with a postcode
+_POSTED = re.compile(rf"{_CODED}\Z")
 _SEP = rf"(?:,{_WS}?|\n[^\S\n]*)"
 _FLAT = rf"(?:{_SEP}(?:Apt\.?|Flat|Unit|Suite|Sector|Block)\s?\w+|{_SEP}\d{{1,2}}[ºª°]\w?)"
 _ADDRESS = re.compile(
@@ -60,10 +65,13 @@ _ADDRESS = re.compile(
     rf"|(?P<calle>Calle|Avenida|Avda\.|Plaza|Paseo|Camino|Via|Viale){_WS}(?:(?:de|del|la){_WS})*{_W}(?:{_WS}{_W})?,?{_WS}\d{{1,5}}\w?"
     rf"|{_W}?[^\W\d_]*(?P<str>stra(?:ße|sse)|str\.|gasse|weg|platz|allee|ring|damm|ufer){_WS}\d{{1,5}}(?:{_WS}?[a-z])?(?![\w])"
     rf"|\d{{1,5}}[A-Za-z]?{_WS}(?:(?:North|South|East|West|[NSEW]\.){_WS})?{_W}(?:{_WS}{_W})?{_WS}(?P<st>{_STREET})(?![\w]))"
-    rf"{_FLAT}?(?:,{_WS}?{_AREA}|\n[^\S\n]*{_AREA}(?=\s*(?:[.,;)\n]|$)))?(?![\w])"
+    rf"{_FLAT}?(?:,{_WS}?{_AREA}|\n[^\S\n]*(?:{_CODED}(?![\w])|{_AREA}(?=\s*(?:[.,;)\n]|$))))?(?![\w])"
 )
 _CUES = ("Box", "Postfach", "Apartado", "B.P.", "Plot", "Unit", "Flat", "House", " rue ", " avenue ", " boulevard ", " place ", " chemin ", "allée ", "allee ", " quai ", "Calle", "Avenida", "Avda.", "Plaza", "Paseo", "Camino", "Via ", "Viale",
          "straße", "strasse", "str.", "gasse", "weg ", "platz ", "ring ", "damm ", "ufer ", "Street", " St", "Road", " Rd", "Avenue", "Ave", "Lane", " Ln", "Crescent", "Drive", " Dr", "Boulevard", "Blvd", " Way", "Court", " Ct", "Place", "Square", "Close", "Terrace")
+_SIGN = re.compile(r"\s?(?:@|[(\[{]\s?at\s?[)\]}])\s?", re.I)
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+-")
+_FRENCH = re.compile(r"\b(?:est|une|dans|pour|avec|sont|les?|des?|la|du|sur|ou|été)\b")
 _DIGITS = re.compile(r"\d[\d\s().\-/]{4,}\d")
 _AT = ("@", "(at", "[at", "{at", "( at", "[ at", "(AT", "[AT", "{AT", "( AT", "[ AT")
 _TOKEN = re.compile(r"[^\W\d_]+\.?|\d|[^\w\s]")
@@ -81,12 +89,25 @@ def shape(s: str) -> str:
 
 
 def _around(text: str, a: int, b: int) -> tuple[str, str, str, str]:
-    before = _TOKEN.findall(text[max(0, a - 28) : a].lower())[-2:]
-    after = _TOKEN.findall(text[b : b + 22].lower())[:2]
+    """The last one and two tokens before a span and the first one and two after it; a token at a window's edge may be cut, hence the third."""
+    n = 28
+    while len(before := _TOKEN.findall(text[max(0, a - n) : a].lower())) < 3 and n < a:
+        n *= 2
+    n = 22
+    while len(after := _TOKEN.findall(text[b : b + n].lower())) < 3 and b + n < len(text):
+        n *= 2
+    before, after = before[-2:], after[:2]
     line = "^" if a == 0 or text[a - 1] == "\n" else ""
     return line + (before[-1] if before else ""), " ".join(before), after[0] if after else "", " ".join(after)
 
 
+def _local_shape(mail: str) -> str:
+    """An e-mail address by the shape of its local part and the way its sign is written."""
+    sign = _SIGN.search(mail)
+    local = re.sub(r"\d+", "9", re.sub(r"[A-Za-z]+", "a", re.sub(r"\s?[(\[{]\s?dot\s?[)\]}]\s?", ".", mail[: sign.start()], flags=re.I)))
+    return local + ("@" if sign.group() == "@" and "(" not in mail and "[" not in mail else " @ " if "@" in sign.group() else "(at)")
+
+
 def candidates(text: str) -> list[tuple]:
     """(kind, start, span, L1, L2, R1, R2, key1, key2, seed1, seed2) of all spans with the shape of personal information."""
     out = []
@@ -99,11 +120,24 @@ def candidates(text: str) -> list[tuple]:
     for h in _EMAIL_HINT.finditer(text) if any(x in text for x in _AT) else ():
         if h.start() < last:
             continue
-        lo = max(last, h.start() - 70)
-        for m in _EMAIL.finditer(text, lo, min(len(text), h.end() + 90)):
+        n = 70
+        while True:  # until the match does not touch the window
+            lo, hi = max(last, h.start() - n), min(len(text), h.end() + n)
+            while lo > last and text[lo - 1] in _LOCAL:
+                lo -= 1
+            while hi < len(text) and text[hi] in _LOCAL:
+                hi += 1
+            m = next((x for x in _EMAIL.finditer(text, lo, hi) if x.end() > h.start()), None)
+            if hi == len(text) or not m or m.end() < hi - 12:  # a spelt dot is shorter
+                break
+            n *= 2
+        last = h.end()  # no local part holds a sign
+        if m and m.start() < h.start():
             last = m.end()
             taken.append(m.span())
-            add("email", *m.span(), "plain" if " " not in m.group() and "@" in m.group() else "spelt", "", "EMAIL")
+            mail = m.group()
+            key = _local_shape(mail)
+            add("email", *m.span(), key, "", "EMAIL" if key[-1] == "@" else None)
     spots = []
     for cue in _CUES:
         q = text.find(cue)
@@ -114,15 +148,21 @@ def candidates(text: str) -> list[tuple]:
     for q in sorted(spots):
         if q < last:
             continue
-        m = _ADDRESS.search(text, max(last, q - 48), min(len(text), q + 160))
+        n = 48
+        while True:  # at least six words before the cue, and no cut at either end
+            lo, hi = max(last, q - n), min(len(text), q + 160 + n)
+            m = _ADDRESS.search(text, lo, hi)
+            cut_left = lo > last and (m.start() <= lo + 1 if m else text.count(" ", lo, q) + text.count("\n", lo, q) < 6)
+            if not cut_left and not (m and m.end() == hi < len(text)):
+                break
+            n *= 2
         if not m:
             continue
-        m = _ADDRESS.match(text, m.start(), min(len(text), m.start() + 200)) or m  # not cut by the window
         last = m.end()
         kind = next(k for k in ("box", "plot", "rue", "calle", "str", "st") if m.group(k))
         taken.append(m.span())
-        word = fold(m.group(kind))
-        add("address", *m.span(), f"w:{word}", "", "ADDRESS" if kind in ("box", "rue", "st", "str") else None)
+        whole = _POSTED.search(m.group(), m.end(kind) - m.start()) is not None
+        add("address", *m.span(), f"w:{fold(m.group(kind))}:{'posted' if whole else 'bare'}", "", "ADDRESS" if whole and kind in ("box", "rue", "st", "str") else None)
     taken.sort()
     at = 0
     last = 0
@@ -156,10 +196,13 @@ def candidates(text: str) -> list[tuple]:
         if first and given.endswith("M.") and _MISTER.match(text, b):  # a title, not an initial
             pos = m.end("g")
             continue
+        if first and re.match(r"M\.\s", given) and len(given) > 3 and len(_FRENCH.findall(text[max(0, a - 150) : b + 150])) >= 4:  # in French text the first initial is a title
+            a += len(given) - len(given[2:].lstrip())
+            given = text[a : m.end("g")]
         if first:  # the first word may only begin a sentence: the name may start at the second
             pos = m.start("f")
         elif before := _BEFORE.search(text, max(0, a - 16), a):
-            a = before.start()
+            a = before.start() if before.group().lower().split() != ["de"] else a  # by itself a preposition
         if at < len(taken) and taken[at][0] < b:
             continue
         g = "#" if given[1] == "." else fold(given)
@@ -188,15 +231,16 @@ def _seeds(found: DataFrame) -> DataFrame:
     """kind, instance, type of seeds: typed keys, and name parts that plain e-mail addresses spell as given.family."""
     own = found.where("s1 is not null").select("kind", F.col("k1").alias("instance"), F.col("s1").alias("type")).distinct()
     parts = F.split(F.lower(F.regexp_extract("span", r"^([A-Za-z]{3,}\.[A-Za-z]{3,})@", 1)), r"\.")
-    spelt = found.where("kind = 'email' and k1 = 'plain'").select(parts.alias("p")).where("size(p) = 2").select(F.explode(F.array(F.concat(F.lit("g:"), F.col("p")[0]), F.concat(F.lit("f:"), F.col("p")[1]))).alias("instance")).distinct()
+    spelt = found.where("kind = 'email' and k1 = 'a.a@'").select(parts.alias("p")).where("size(p) = 2").select(F.explode(F.array(F.concat(F.lit("g:"), F.col("p")[0]), F.concat(F.lit("f:"), F.col("p")[1]))).alias("instance")).distinct()
     initials = found.sparkSession.range(1).select(F.lit("g:#").alias("instance"))  # say nothing against a name
     return own.unionByName(spelt.unionByName(initials).select(F.lit("name").alias("kind"), "instance", F.lit("NAME").alias("type")))
 
 
-def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def score_graph(edges: DataFrame, seeds: DataFrame, settled: float = SETTLED) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances) with their confidence in each type: kind, pattern or instance, type, c.
 
-    An occurrence counts for its pattern by the lesser confidence of its keys; an instance above PROMOTE becomes certain.
+    An occurrence counts for its pattern by the lesser confidence of its keys; an instance above PROMOTE becomes and stays
+    certain, so that the rounds end.
     """
     held = cut(seeds.withColumn("c", F.lit(1.0)))
     # instances are judged by the longer contexts only
@@ -204,8 +248,9 @@ def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tup
     ends = cut(ends.groupBy("kind", "pattern", "instance").agg(F.sum("n").alias("n")))
     total_p = cut(edges.groupBy("kind", "pattern").agg(F.sum("n").alias("t")))
     total_i = cut(ends.groupBy("kind", "instance").agg(F.sum("n").alias("t")))
-    instances, patterns = held, None
-    for _ in range(rounds):
+    instances = held
+    certain = held.count()
+    while True:
         one = instances.select("kind", F.col("instance").alias("k1"), "type", F.col("c").alias("c1"))
         two = instances.select("kind", F.col("instance").alias("k2"), "type", F.col("c").alias("c2"))
         heard = edges.join(small(one), ["kind", "k1"])
@@ -214,8 +259,11 @@ def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tup
         patterns = cut(patterns.where("c > 0.05"))
         told = ends.join(small(patterns.where("c > 0.3")), ["kind", "pattern"]).groupBy("kind", "instance", "type").agg(F.sum(F.col("n") * F.col("c")).alias("m")).join(small(total_i), ["kind", "instance"]).select("kind", "instance", "type", (F.col("m") / (F.col("t") + PRIOR)).alias("c"))
         told = told.where("c > 0.05").withColumn("c", F.when(F.col("c") >= PROMOTE, 1.0).otherwise(F.col("c")))
-        instances = cut(told.unionByName(held).groupBy("kind", "instance", "type").agg(F.max("c").alias("c")))
-    return patterns, instances
+        instances = cut(told.unionByName(instances.where("c = 1")).groupBy("kind", "instance", "type").agg(F.max("c").alias("c")))
+        now = instances.where("c = 1").count()
+        if now - certain <= settled * certain:
+            return patterns, instances
+        certain = now
 
 
 def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
@@ -243,7 +291,7 @@ def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", a
         left, right = F.greatest(at("c_l1", t), at("c_l2", t)), F.greatest(at("c_r1", t), at("c_r2", t))
         one, two = at("c_k1", t), at("c_k2", t)
         inner = F.when(F.col("k2") == "", one).otherwise(F.least(one, two))
-        return inner * 0.6 + F.greatest(left, right) * 0.4
+        return F.when(F.col("kind") == "name", F.sqrt(inner * F.greatest(left, right))).otherwise(inner * 0.6 + F.greatest(left, right) * 0.4)
 
     scores = F.array(*[F.struct(confidence(t).alias("c"), F.lit(t).alias("t")) for t in TYPES])
     x = x.withColumn("_best", F.array_max(scores)).where((F.col("_best.c") >= F.when(F.col("kind") == "name", F.lit(min(accept, ACCEPT_NAME))).otherwise(F.lit(accept))) & ~((F.col("kind") == "name") & (F.col("r1") == "&")))
@@ -258,11 +306,12 @@ def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", a
 def replace_pii(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """documents with each found span replaced by its type in square brackets; other columns stay. found: from find_pii.
 
-    A document's spans are few against its text, so they are gathered a document at a time; of overlapping spans the first
+    A document's spans are gathered into one row; if those rows are few enough to broadcast (session.small) no text is shuffled,
+    beyond that texts meet their spans by doc_id. Of overlapping spans the first
     and then the longest is replaced. Documents without spans, null texts included, pass as they are.
     """
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", (-F.length("pii_text")).alias("n"), "pii_type"))).alias("_spans"))
-    x = documents.join(spans, F.col(doc_id) == F.col("_id"), "left")
+    spans = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", (-F.length("pii_text")).alias("n"), "pii_type"))).alias("_spans")))
+    x = documents.join(small(spans), F.col(doc_id) == F.col("_id"), "left")
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:

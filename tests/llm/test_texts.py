@@ -134,6 +134,28 @@ def test_personal_information(letters):
     found.unpersist()
 
 
+def test_long_spans_are_not_cut():
+    """Windows grow until a match does not touch them."""
+    local, street = "a" * 200, "Q" + "u" * 120
+    text = f"write to {local}@{'example.' * 40}org now, or to {street} {street} Strasse, i.e. 12 {street} {street} Road, Tamsel ZZ4 8QQ. " + " " * 500 + "Kesto Brellarde said"
+    got = {(k[0], k[2]) for k in pii.candidates(text)}
+    assert {("email", f"{local}@{'example.' * 40}org"), ("address", f"12 {street} {street} Road, Tamsel ZZ4 8QQ"), ("name", "Kesto Brellarde")} <= got
+    name = next(k for k in pii.candidates(text) if k[2] == "Kesto Brellarde")
+    assert name[4] == "qq ." or name[4].endswith(".")  # the words before it, across the blanks
+
+
+def test_only_unmistakable_spans_are_seeds():
+    seeds = {k[2]: k[9] for k in pii.candidates("the 3 Claim Way, a.b (at) c.org, d@e.org; 5 Weaver Road, Tamsel ZZ4 8QQ; 12-345-6789")}
+    assert seeds["3 Claim Way"] is None and seeds["a.b (at) c.org"] is None and seeds["12-345-6789"] is None
+    assert seeds["d@e.org"] == "EMAIL" and seeds["5 Weaver Road, Tamsel ZZ4 8QQ"] == "ADDRESS"
+
+
+def test_french_titles_and_prepositions():
+    text = "La gaine est dans une cuve pour les essais. M. F. Brelldberg, titulaire de la pièce, est venu. Les essais de MORVELD, Kesto le confirment."
+    assert [k[2] for k in pii.candidates(text) if k[0] == "name"] == ["F. Brelldberg", "MORVELD, Kesto"]
+    assert [k[2] for k in pii.candidates("Signed by M. F. Brelldberg in London.") if k[0] == "name"] == ["M. F. Brelldberg"]
+
+
 def test_no_texts(spark):
     e = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.find_pii(e).count() == 0
