@@ -2,9 +2,11 @@
 
 Texts become words without case, punctuation, markup, line-break hyphens, look-alike characters and the commonest misread
 letters. Of a document, the least hash of k words in each window of w positions is kept (winnowing); of a test item all of
-them, so that any k + w - 1 words in a row that both share meet in at least one fingerprint. The test side is fixed and
-counted, so its fingerprints travel to the documents, in blocks of BLOCK_WORDS words, and no document text is shuffled.
-Hits whose surroundings agree are extended by local alignment, which admits replaced, misread and inserted words.
+them, so that any k + w - 1 words in a row that both share meet in at least one fingerprint. A bitmap of fixed size over
+the test fingerprints drops nearly all others inside the scan; what is left, each with the words around it, is joined with
+the table of test fingerprints. Pairs whose surroundings agree name the documents that are read once more, where hits are
+extended by local alignment, which admits replaced, misread and inserted words. No text is shuffled while the test side or
+the list of hit documents is below the checked bound of a broadcast; beyond it both joins are ordinary ones.
 """
 
 from __future__ import annotations
@@ -15,16 +17,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut, small
+
 K = 4
 WINDOW = 2
 #: Words of an item that a passage must cover; its first and last may be altered ones, hence EDGE.
 LEAST_WORDS = 20
 EDGE = 1
-#: Test words whose fingerprints one pass carries; more are taken in further passes over the documents.
-BLOCK_WORDS = 4_000_000
+#: Bits of the bitmap over test fingerprints: 16 MB at any size of the test side.
+BITMAP_BITS = 1 << 27
+#: Rows of the fingerprint table that may be broadcast; a row is about 180 bytes.
+PRINTS_ROWS = 200_000
+#: Words before and after a fingerprint that must agree with it, and how many of them.
+BACK, AHEAD, AGREE = 14, 18, 14
+#: Widest alignment whose score, matches and first word fit in one integer.
+MOST_WORDS = 1 << 20
 
 # Letters of other scripts by the Latin letters they look like.
 LOOK_ALIKE = str.maketrans(
@@ -84,127 +95,107 @@ def winnow(h: np.ndarray, w: int = WINDOW) -> np.ndarray:
     return at[np.concatenate([[True], at[1:] != at[:-1]])]  # positions never go back
 
 
-class TestSet:
-    """Fingerprints and words of a block of test items."""
-
-    __test__ = False
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids: dict[str, int] = {}
-        self.items: list[int] = []
-        self.raw_word: list[np.ndarray] = []  # the blank-separated word that each word stands in
-        parts, starts = [], []
-        pad = 64
-        at = pad
-        parts.append(np.full(pad, -1, np.int64))
-        for item, text in items:
-            raw, ws = [], []
-            for r, piece in enumerate((text or "").split()):
-                for x in words_of(piece):
-                    ws.append(self.ids.setdefault(x, len(self.ids) + 1))
-                    raw.append(r)
-            self.items.append(item)
-            self.raw_word.append(np.array(raw, np.int64))
-            starts.append(at)
-            parts += [np.array(ws, np.int64), np.full(pad, -1, np.int64)]
-            at += len(ws) + pad
-        self.flat = np.concatenate(parts)
-        self.starts = np.array(starts, np.int64)
-        h, where = [], []
-        for i, s in enumerate(starts):
-            own = grams(self.flat[s : s + len(self.raw_word[i])])
-            h.append(own)
-            where.append(s + np.arange(len(own)))
-        h_all = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        at_all = np.concatenate(where) if where else np.zeros(0, np.int64)
-        order = np.argsort(h_all, kind="stable")
-        self.h, self.at = h_all[order], at_all[order]
-
-    def item_of(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, at, side="right") - 1
+class WordHash(dict):
+    """Words to positive 31-bit hashes, kept while they are few."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = (xxhash.xxh32_intdigest(word) >> 1) | 1
+        return h
+
+
+def item_words(text: str, hashes: WordHash) -> tuple[list[int], list[int]]:
+    """Word hashes of a test item, and for each the number of the blank-separated word it stands in."""
+    words, raw = [], []
+    for r, piece in enumerate((text or "").split()):
+        for x in words_of(piece):
+            words.append(hashes[x])
+            raw.append(r)
+    return words, raw
+
+
+def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = WordHash()
+    for b in batches:
+        both = [item_words(t, hashes) for t in b["text"]]
+        yield pd.DataFrame({"item_id": b["item_id"], "words": [w for w, _ in both], "raw": [r for _, r in both]})
+
+
+def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every fingerprint of the items with the words around it."""
+    for b in batches:
+        for item, words in zip(b["item_id"], b["words"], strict=True):
+            w = np.asarray(words, np.int64)
+            h = grams(w)
+            if len(h):
+                around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(BACK, -1), w, np.full(AHEAD, -1)]), BACK + AHEAD)[: len(h)]
+                yield pd.DataFrame({"g": h.view(np.int64), "item_id": item, "p": np.arange(len(h)), "beside": list(around.astype(np.int32))})
+
+
+def _ids(text: str, hashes: WordHash) -> np.ndarray:
+    return np.fromiter([hashes[w] for w in words_of(text)], np.int64)
+
+
+def text_hits(ids: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, places, words around) of a text's winnowed fingerprints that the bitmap admits."""
+    h = grams(ids)
+    keep = winnow(h)
+    low = h[keep] & np.uint64(BITMAP_BITS - 1)
+    keep = keep[(bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    padded = np.concatenate([np.zeros(BACK + 2, np.int64), ids, np.zeros(AHEAD + 2, np.int64)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, BACK + AHEAD + 4)[keep].astype(np.int32)
+    return h[keep].view(np.int64), keep, around
+
+
+def agreeing(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """How many words of each item window agree with the text's on the hit's diagonal or up to two beside it."""
+    agree = np.zeros(item.shape, bool)
+    for shift in range(5):
+        agree |= doc[:, shift : shift + BACK + AHEAD] == item
+    return agree.sum(axis=1)
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment (match 1, else -2): first and last item word it covers and the number of matches.
 
     A cell holds score, matches and first word packed in one integer, so that one maximum carries all three.
+    Items of MOST_WORDS words or more are refused with an error.
     """
     n, m = len(item), len(doc)
-    unit, many = np.int64(1 << 24), np.int64(1 << 12)
-    hit = np.where(doc[None, :] == item[:, None], unit + many, -2 * unit)
-    prev = np.zeros(m + 1, np.int64)
+    if n >= MOST_WORDS:
+        raise ValueError(f"a test item of {n} words; split items beyond {MOST_WORDS - 1}")
+    unit, many = np.int64(1 << 41), np.int64(1 << 20)  # 21 bits of matches above 20 of the first word
     step = np.arange(m + 1, dtype=np.int64) * (2 * unit)
+    prev = np.zeros(m + 1, np.int64)
     best, where = np.int64(0), -1
-    cur = np.zeros(m + 1, np.int64)
     for i in range(n):
+        cur = np.zeros(m + 1, np.int64)
         fresh = np.int64(n - i)  # an alignment that begins here; an earlier first word sorts higher
-        np.add(np.where(prev[:-1] >= unit, prev[:-1], fresh), hit[i], out=cur[1:])
-        cur[0] = 0
+        np.add(np.where(prev[:-1] >= unit, prev[:-1], fresh), np.where(doc == item[i], unit + many, -2 * unit), out=cur[1:])
         np.maximum(cur, prev - 2 * unit, out=cur)
         cur = np.maximum.accumulate(cur + step) - step  # inserted words
         top = cur.max()
         if top > best:
             best, where = top, i
         prev = cur
-        cur = np.zeros(m + 1, np.int64)
     if where < 0 or best < unit:
         return 0, -1, 0
-    return n - int(best & (many - 1)), where, int((best >> 12) & 0xFFF)
-
-
-def hits_of(texts: list[str], tests: TestSet) -> list[tuple[int, int, int, float]]:
-    """(text number, item, words covered, share matched) of the best alignment of each text and item that meet."""
-    get = tests.ids.get
-    gap = 48
-    parts, begin, at = [], [], 0
-    blank = np.zeros(gap, np.int64)
-    for t in texts:
-        ids = np.fromiter([get(w, 0) for w in words_of(t)], np.int64)
-        begin.append(at)
-        parts += [ids, blank]
-        at += len(ids) + gap
-    if not parts or not len(tests.h):
-        return []
-    flat = np.concatenate([blank, *parts])
-    begin_at = np.array(begin, np.int64) + gap
-    h = grams(flat)
-    keep = winnow(h)
-    keep = keep[(flat[keep] > 0) & (flat[keep + 1] > 0) & (flat[keep + 2] > 0) & (flat[keep + 3] > 0)]
-    lo, hi = np.searchsorted(tests.h, h[keep], "left"), np.searchsorted(tests.h, h[keep], "right")
-    n = hi - lo
-    i = np.repeat(keep, n)
-    if not len(i):
-        return []
-    j = tests.at[np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
-    # surroundings: words near the hit that agree on its diagonal or a neighbouring one
-    t = np.arange(-14, 18)
-    agree = np.zeros((len(i), len(t)), bool)
-    for shift in (-2, -1, 0, 1, 2):
-        x = np.clip(i[:, None] + t + shift, 0, len(flat) - 1)
-        agree |= flat[x] == tests.flat[np.clip(j[:, None] + t, 0, len(tests.flat) - 1)]
-    good = agree.sum(axis=1) >= 14
-    i, j = i[good], j[good]
-    out: dict[tuple[int, int], tuple[int, float]] = {}
-    text_no, item_no = np.searchsorted(begin_at, i, "right") - 1, tests.item_of(j)
-    done: set[tuple[int, int, int]] = set()
-    for a, b, d, k in zip(i.tolist(), j.tolist(), text_no.tolist(), item_no.tolist(), strict=True):
-        s = int(tests.starts[k])
-        n_item = len(tests.raw_word[k])
-        corner = a - (b - s)
-        if (d, k, corner // 16) in done:
-            continue
-        done |= {(d, k, corner // 16 + x) for x in (-1, 0, 1)}
-        end = begin[d + 1] if d + 1 < len(begin) else len(flat)
-        lo_, hi_ = max(begin_at[d], corner - 24), min(end + gap, corner + n_item + n_item // 3 + 24)
-        first, last, matched = align(tests.flat[s : s + n_item], flat[lo_:hi_])
-        if last < first:
+    return n - int(best & (many - 1)), where, int((best >> 20) & ((1 << 21) - 1))
+
+
+def best_alignment(item: np.ndarray, doc: np.ndarray, corners: list[int]) -> tuple[int, int, int]:
+    """The alignment of most words over the diagonals where hits were (each the text place of the item's first word)."""
+    n, out, done = len(item), (0, -1, 0), None
+    for c in sorted(corners):
+        if done is not None and c - done < 16:
             continue
-        raw = tests.raw_word[k]
-        covered = int(raw[last] - raw[first] + 1)
-        share = matched / (last - first + 1)
-        if covered > out.get((d, k), (0, 0.0))[0]:
-            out[d, k] = (covered, share)
-    return [(d, tests.items[k], c, s) for (d, k), (c, s) in out.items()]
+        done = c
+        lo, hi = max(0, c - 40), min(len(doc), c + n + n // 3 + 40)
+        got = align(item, doc[lo:hi]) if hi > lo else out
+        if got[1] - got[0] > out[1] - out[0]:
+            out = got
+    return out
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -215,34 +206,51 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     """
     schema = "item_id bigint, doc_id bigint, covered int, share double"
     spark = documents.sparkSession
-    rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, text).dropDuplicates([item_id]).orderBy(item_id)
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for i, t in rows.toLocalIterator():
-        n = len(t.split())
-        if held + n > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((i, t))
-        held += n
-    docs = documents.where(F.length(text) > 40).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for block in blocks:
-        if not block:
-            continue
-        sent = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            tests = TestSet(sent.value)
-            for b in batches:
-                ids, texts = b["doc_id"].tolist(), b["text"].tolist()
-                found = []
-                for a in range(0, len(texts), 128):
-                    found += [(i, ids[a + d], c, s) for d, i, c, s in hits_of(texts[a : a + 128], tests) if c >= least_words - EDGE]
-                yield pd.DataFrame(found, columns=["item_id", "doc_id", "covered", "share"])
-
-        part = docs.mapInPandas(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    return out.groupBy("item_id", "doc_id").agg(F.max("covered").alias("covered"), F.max("share").alias("share"))
+    rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).groupBy(F.col(item_id).cast("bigint").alias("item_id")).agg(F.min(text).alias("text"))
+    held = cut(rows.mapInPandas(_items, "item_id bigint, words array<int>, raw array<int>"))
+    prints = cut(held.select("item_id", "words").mapInPandas(_prints, "g bigint, item_id bigint, p int, beside array<int>"))
+    # one row a 32,768 fingerprint values, 4,096 rows at most
+    low = f"(g & {BITMAP_BITS - 1})"
+    bits = prints.groupBy(F.expr(f"{low} div 32768").alias("at")).agg(F.expr(f"bitmap_construct_agg({low} % 32768)").alias("bits")).collect()
+    bitmap = bytearray(BITMAP_BITS // 8)
+    for at, b in bits:
+        bitmap[at * 4096 : (at + 1) * 4096] = b
+    sent = spark.sparkContext.broadcast(bytes(bitmap))
+    docs = documents.where(F.length(text) > 0).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, table = WordHash(), np.frombuffer(sent.value, np.uint8)
+        for b in batches:
+            out = []
+            for i, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
+                g, at, around = text_hits(_ids(t, hashes), table)
+                if len(g):
+                    out.append(pd.DataFrame({"doc_id": i, "h": g, "at": at, "around": list(around)}))
+            if out:
+                yield pd.concat(out)
+
+    @F.pandas_udf("boolean")
+    def near(doc: pd.Series, item: pd.Series) -> pd.Series:
+        return pd.Series(agreeing(np.stack(doc.to_numpy()), np.stack(item.to_numpy())) >= AGREE if len(doc) else [], dtype=bool)
+
+    met = docs.mapInPandas(scan, "doc_id bigint, h bigint, at int, around array<int>").join(small(prints, PRINTS_ROWS), F.col("h") == F.col("g"))
+    met = met.where(near("around", "beside")).select("doc_id", "item_id", (F.col("at") - F.col("p")).alias("corner"))
+    pairs = met.groupBy("doc_id", "item_id").agg(F.collect_set("corner").alias("corners")).join(small(held, PRINTS_ROWS), "item_id")
+    # what one document leaks is bounded by its own length
+    wanted = cut(pairs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("item_id", "corners", "words", "raw")).alias("pairs")))
+    again = docs.join(small(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "pairs")
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHash()
+        for b in batches:
+            found = []
+            for i, t, some in zip(b["doc_id"].tolist(), b["text"], b["pairs"], strict=True):
+                ids = _ids(t, hashes)
+                for q in some:
+                    first, last, matched = best_alignment(np.asarray(q["words"], np.int64), ids, list(q["corners"]))
+                    if last >= first:
+                        found.append((q["item_id"], i, int(q["raw"][last] - q["raw"][first] + 1), matched / (last - first + 1)))
+            yield pd.DataFrame(found, columns=["item_id", "doc_id", "covered", "share"])
+
+    got = again.mapInPandas(extend, schema).where(F.col("covered") >= least_words - EDGE)
+    return got.groupBy("item_id", "doc_id").agg(F.max("covered").alias("covered"), F.max("share").alias("share"))

@@ -64,14 +64,24 @@ def test_leaks(corpus):
     assert len(got) >= 0.97 * len(truth)
 
 
-def test_leaks_in_blocks_of_items(corpus, monkeypatch):
+def test_leaks_without_broadcasts(corpus, monkeypatch):
     docs, items, _ = corpus
     want = sorted(map(tuple, leakage.leaks(docs, items).collect()))
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(leakage, "small", lambda df, rows=0: df)
     assert sorted(map(tuple, leakage.leaks(docs, items).collect())) == want
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_long_items_and_short_words(spark):
+    r = random.Random(8)
+    long = [f"{r.choice(WORDS)}{i}x" for i in range(5000)]
+    letters = "a b d f g h j k m n p q r s t u v w x y"
+    items = spark.createDataFrame([(1, " ".join(long)), (2, letters)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(10, " ".join(long)), (11, " ".join(prose(r, 50) + long[10:60] + prose(r, 50))), (12, letters), (13, " ".join(prose(r, 3000) + long[:4096]))], "doc_id bigint, text string")
+    got = {(x["item_id"], x["doc_id"]): x["covered"] for x in leakage.leaks(docs, items).collect()}
+    assert got == {(1, 10): 5000, (1, 11): 50, (2, 12): 20, (1, 13): 4096}
+
+
 def test_winnowing_guarantee():
     """Every run of K + WINDOW - 1 shared words holds a kept fingerprint of the text."""
     r = random.Random(3)
@@ -88,6 +98,10 @@ def test_alignment_counts():
     first, last, matched = leakage.align(item, doc)
     assert (item[first], item[last], matched) == (5, 35, 30)
     assert leakage.align(item, np.full(10, 99)) == (0, -1, 0)
+    long = np.arange(1, 5001)
+    assert leakage.align(long, long) == (0, 4999, 5000) and leakage.align(long, long[10:60]) == (10, 59, 50)
+    with pytest.raises(ValueError, match="split items"):
+        leakage.align(np.zeros(leakage.MOST_WORDS), long[:3])
 
 
 TEXT = """(72) Inventor: Kesto Brellarde, 73 Kestrel Lane, Kandapur ZZ6 8QQ
