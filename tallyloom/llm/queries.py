@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import entity_match, leakage, nearest_time, packing, pii
 from tallyloom.operators.instants import resolve_instants
+from tallyloom.session import cut
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -38,6 +39,26 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(_table(spark, d, "documents")))
 
 
+#: Limits that bind in turn: few documents a container, or few attention cells, or tokens.
+THREE_LIMITS = {"capacity": packing.CAPACITY, "max_documents": 6, "max_attention": packing.CAPACITY**2 // 4}
+
+
+def p7_three_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Containers under limits of tokens, documents and attention cost: how many each limit stops, and what each leaves unused."""
+    packed = packing.pack(packing.token_counts(_table(spark, d, "documents")), **THREE_LIMITS)
+    loads = packing.container_loads(packed, **THREE_LIMITS)
+    least = F.least("tokens_unused", "documents_unused", "attention_unused")
+    bound = F.when(F.col("tokens_unused") == least, "tokens").when(F.col("attention_unused") == least, "attention").otherwise("documents")
+    return loads.groupBy(bound.alias("tightest")).agg(F.count("*").alias("containers"), *[F.round(F.avg(f"{x}_unused"), 4).alias(f"{x}_unused") for x in ("tokens", "documents", "attention")])
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What both packings promise, as counts of documents and of broken promises."""
+    counts = cut(packing.token_counts(_table(spark, d, "documents")))
+    out = [packing.packing_checks(counts, packing.pack(counts, **k), **k).withColumn("limits", F.lit(name)) for name, k in (("tokens", {}), ("three", THREE_LIMITS))]
+    return out[0].unionByName(out[1])
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold passages of evaluation items, with the words covered and the share of them found."""
     return leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
@@ -58,4 +79,10 @@ def p9_replaced(spark: SparkSession, d: str) -> DataFrame:
     return pii.replace_pii(documents, pii.find_pii(documents)).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_matches, p7_containers, p8_found, p8_leaks, p9_found, p9_replaced)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_matches, p7_containers, p7_three_limits, p7_checks, p8_found, p8_leaks, p9_found, p9_replaced)}
+
+ORACLES = {
+    "p7_checks": """
+      select count(*) as documents, count(*) as placed, 0::bigint as tokens_lost, 0::bigint as split, 0::bigint as over_tokens, 0::bigint as over_documents, 0::bigint as over_attention, l.limits
+      from documents, (values ('tokens'), ('three')) l(limits) group by l.limits""",
+}

@@ -126,6 +126,47 @@ def test_packing(spark, documents, attention):
         assert len(bins) <= total / 4096 * 1.02 + 1
 
 
+def test_best_fit_takes_the_best_of_many_alike():
+    """40 containers of one level differ in documents left; the least remainder wins, wherever it stands."""
+    lengths = [3000] * 40 + [96] * 20 + [1000, 1000]
+    where = packing.best_fit(lengths, 4096, 8, 4096**2, (1.0, 0.1, 0.1))
+    loads = {}
+    for n, b in zip(lengths, where, strict=True):
+        loads.setdefault(b, []).append(n)
+    assert len(loads) == 40 and sorted(map(sorted, loads.values()))[-1] == [3000]
+    assert sum(sum(x) for x in loads.values()) == sum(lengths)
+    # a full scan over containers, as the definition says
+    def slow(lengths, capacity, docs, attention, w):
+        open_, out = [], []
+        for n in sorted(lengths, reverse=True):
+            fits = [(w[0] * ((t - n) / capacity) ** 2 + w[1] * ((d - 1) / docs) ** 2 + w[2] * ((a - n * n) / attention) ** 2, k) for k, (t, d, a) in enumerate(open_) if t >= n and d >= 1 and a >= n * n]
+            if fits:
+                k = min(fits)[1]
+                t, d, a = open_[k]
+                open_[k] = (t - n, d - 1, a - n * n)
+            else:
+                open_.append((capacity - n, docs - 1, attention - n * n))
+        return sorted(open_)
+    r = random.Random(4)
+    for docs, attention in ((64, 4096**2), (5, 4096**2), (64, 3_000_000), (6, 4_000_000)):
+        lengths = [r.choice([r.randrange(0, 1500), 700, 701]) for _ in range(600)]
+        where = packing.best_fit(lengths, 4096, docs, attention)
+        left = {}
+        for n, b in zip(lengths, where, strict=True):
+            t, d, a = left.get(b, (4096, docs, attention))
+            left[b] = (t - n, d - 1, a - n * n)
+        assert sorted(left.values()) == slow(lengths, 4096, docs, attention, packing.WEIGHTS)
+
+
+def test_containers_do_not_depend_on_partitions(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(i % 900, r.randrange(5000)) for i in range(1000)] + [(1, 7), (1, 7)], COUNTS)
+    runs = [sorted(map(tuple, packing.pack(df.repartition(k), group_items=300).collect())) for k in (1, 5)]
+    assert runs[0] == runs[1]
+    row = packing.packing_checks(df, packing.pack(df)).first().asDict()
+    assert row.pop("documents") == row.pop("placed") == 1002 and set(row.values()) == {0}
+
+
 def test_packing_nothing_and_one_group(spark):
     e = spark.createDataFrame([], COUNTS)
     assert packing.pack(e).count() == 0
