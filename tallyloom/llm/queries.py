@@ -26,8 +26,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_matches(spark: SparkSession, d: str) -> DataFrame:
     """Payments without ids with the order they pay for and the confidence of the match."""
-    payments, orders, feeds = (_table(spark, d, t) for t in ("payments", "order_txns", "feeds"))
-    return entity_match.match(entity_match.lost_payments(payments, feeds), entity_match.unpaid_orders(orders, payments, feeds))
+    return entity_match.match_tables(*(_table(spark, d, t) for t in ("payments", "order_txns", "feeds")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

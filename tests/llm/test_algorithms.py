@@ -70,13 +70,20 @@ def world(seed, n=400):
 def test_entities_match(spark):
     orders, payments, truth = world(5)
     extra = [("pnull", None, None, None, None, None, None), ("pnull2", "M1", 5, "INR", None, None, "x"), payments[0]]
-    got = entity_match.match(spark.createDataFrame(payments + extra, P).withColumn("bt", F.lit(0)), spark.createDataFrame([*orders, ("onull", None, None, None, None, None, None), orders[0]], O)).collect()
+    got = entity_match.match(spark.createDataFrame(payments + extra, P).withColumn("bt", F.lit(0)), spark.createDataFrame([*orders, ("onull", None, None, None, None, None, None), orders[0]], O), [1.0, 0.98]).collect()
     assert len({r["payment_uid"] for r in got}) == len(got) == len({r["order_uid"] for r in got})
     right = sum(truth.get(r["payment_uid"]) == r["order_uid"] for r in got)
     assert right / len(got) >= 0.97 and right / len(truth) >= 0.93
     assert all(0.5 <= r["confidence"] <= 1 for r in got)
 
 
+def test_net_shares(spark):
+    rows = [(100_000, 0)] * 60 + [(100_000 + i, round((100_000 + i) * 0.025)) for i in range(30)] + [(50_000, 24_000), (None, 5), (0, 5), (50_000, None), (50_000, 60_000)]
+    df = spark.createDataFrame(rows, "amount bigint, fee bigint")
+    assert entity_match.net_shares(df) == [1.0, 0.52, 0.975]
+    assert entity_match.net_shares(df.limit(0)) == [1.0]
+
+
 def test_no_entities(spark):
     orders, payments, _ = world(1, 5)
     p, o = spark.createDataFrame(payments, P), spark.createDataFrame(orders, O)
@@ -89,7 +96,7 @@ def test_references(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r["i"]: r["c"] for r in df.select("i", entity_match.reference_core(F.col("t")).alias("c")).collect()}
     assert [got[i] for i in range(len(texts))] == list(texts.values())
-    pairs = [("123456789", "123456789", 1.0), ("123465789", "123456789", 0.95), ("1234568977", "123456789", 0.9), ("56789", "123456789", 0.85), ("123456700", "123456789", 0.6), ("987654321", "123456789", 0.0), (None, "1", None), ("", "", 1.0)]
+    pairs = [("123456789", "123456789", 1.0), ("123465789", "123456789", 0.95), ("1234568977", "123456789", 0.9), ("56789", "123456789", 0.85), ("123456700", "123456789", 0.6), ("987654321", "123456789", 0.0), (None, "1", None), ("", "", 1.0), ("123546", "123456", 0.95), ("1346578", "123465", 0.9), ("134657", "123465", 0.9), ("129466", "123456", 0.6), ("23456", "123456", 0.9), ("123456789021", "123456789012", 0.95), ("789012", "123456789012", 0.85), ("12345678901277", "123456789012", 0.9)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
     got = {r["i"]: r["s"] for r in df.select("i", entity_match.reference_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
     assert [got[i] for i in range(len(pairs))] == [p[2] for p in pairs]
