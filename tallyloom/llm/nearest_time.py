@@ -1,11 +1,11 @@
 """Problem 3: records paired with the nearest record in time of the same entity, within a tolerance.
 
-Buckets are as wide as the tolerance, so that a partner lies in the same bucket or an adjacent one. No pairs are formed
-within a bucket: instants of the right side are first reduced to one row each (the least id), a bucket is cut into slots
-of a second, and a left instant meets at most four candidates: the nearest before and after it in its own slot, the last of
-the nearest earlier slot and the first of the nearest later slot, both found among slot summaries of its own and the
-adjacent buckets. A slot holds at most a million instants of microseconds and a bucket at most tolerance seconds of slots,
-however many rows share an entity.
+Buckets are as wide as the tolerance, so that a partner lies in the same bucket or an adjacent one: rows are joined on the
+entity and the same or adjacent bucket, filtered by difference, and the least (difference, id) is kept. What is joined is
+not the rows of a crowded bucket but summaries: instants of the right side are first reduced to one row each (the least
+id), a bucket is cut into SLOTS slots, and a slot offers its first and its last instant, one of which is the nearest for
+any instant outside it. So an asked instant meets at most 3 * SLOTS slots however many rows share an entity. Within its own
+slot the nearest before and after it are found by running over the slot in order of time.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import cut, small
 
-SECOND = 1_000_000
+SLOTS = 16
 
 
 def nearest_within(left: DataFrame, right: DataFrame, tolerance_us: int) -> DataFrame:
@@ -24,39 +24,35 @@ def nearest_within(left: DataFrame, right: DataFrame, tolerance_us: int) -> Data
     left: left_id, entity, us; right: right_id, entity, us. Ties go to the least right_id. Rows with a null entity or time
     have no partner; a left row without one gives no row; repeated left rows are each paired. Empty sides give no rows.
     """
-    width = max(tolerance_us, SECOND)
-    slot = F.expr(f"us div {SECOND} - if(us < 0 and us % {SECOND} <> 0, 1, 0)")
+    step = max(-(-tolerance_us // SLOTS), 1)
+    slot = F.expr(f"us div {step} - if(us < 0 and us % {step} <> 0, 1, 0)")
+    bucket = F.expr(f"slot div {SLOTS} - if(slot < 0 and slot % {SLOTS} <> 0, 1, 0)")
     left = left.where("entity is not null and us is not null and left_id is not null").select("left_id", "entity", "us")
-    asked = left.select("entity", "us").distinct().withColumn("slot", slot)
-    asked = cut(asked)
-    entities = asked.select(F.col("entity").alias("_e"), F.expr(f"slot * {SECOND} div {width}").alias("_b0")).distinct()
-    near = entities.select("_e", F.explode(F.array(*[F.col("_b0") + k for k in (-2, -1, 0, 1, 2)])).alias("_b")).distinct()
-    offered = right.where("entity is not null and us is not null and right_id is not null").select("entity", "us", "right_id").withColumn("slot", slot)
-    offered = offered.withColumn("_b0", F.expr(f"slot * {SECOND} div {width}"))
-    offered = offered.join(small(cut(near)), (F.col("entity") == F.col("_e")) & (F.col("_b0") == F.col("_b")), "left_semi")
-    offered = cut(offered.groupBy("entity", "us", "slot").agg(F.min("right_id").alias("right_id")))
+    asked = cut(left.select("entity", "us").distinct().withColumn("slot", slot).withColumn("bucket", bucket))
+    beside = F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)])).alias("_b")
+    near = asked.select(F.col("entity").alias("_e"), "bucket").distinct().select("_e", beside).distinct()
+    offered = right.where("entity is not null and us is not null and right_id is not null").select("entity", "us", "right_id").withColumn("slot", slot).withColumn("bucket", bucket)
+    offered = offered.join(small(cut(near)), (F.col("entity") == F.col("_e")) & (F.col("bucket") == F.col("_b")), "left_semi")
+    offered = cut(offered.groupBy("entity", "us", "slot", "bucket").agg(F.min("right_id").alias("right_id")))
+
+    # other slots of the same and the adjacent buckets
+    ends = offered.groupBy("entity", "bucket", "slot").agg(F.min(F.struct("us", "right_id")).alias("first"), F.max(F.struct("us", "right_id")).alias("last"))
+    ends = ends.select(F.col("entity").alias("_e"), F.col("bucket").alias("_o"), F.col("slot").alias("_s"), "first", "last")
+    gap = lambda c: F.struct(F.abs(F.col(f"{c}.us") - F.col("us")).alias("gap_us"), F.col(f"{c}.right_id").alias("right_id"))
+    across = asked.select("entity", "us", "slot", beside).join(ends, (F.col("entity") == F.col("_e")) & (F.col("_b") == F.col("_o")) & (F.col("slot") != F.col("_s")))
+    across = across.select("entity", "us", F.when(F.col("_s") < F.col("slot"), gap("last")).otherwise(gap("first")).alias("best"))
 
     # within a slot
     here = Window.partitionBy("entity", "slot")
-    both = asked.select("entity", "slot", "us", F.lit(None).cast("string").alias("right_id")).unionByName(offered.select("entity", "slot", "us", F.col("right_id").cast("string")))
+    both = asked.select("entity", "slot", "us", F.lit(None).cast(dict(offered.dtypes)["right_id"]).alias("right_id")).unionByName(offered.select("entity", "slot", "us", "right_id"))
     offer = F.when(F.col("right_id").isNotNull(), F.struct("us", "right_id"))
     back = here.orderBy(F.col("us").asc(), F.col("right_id").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     on = here.orderBy(F.col("us").desc(), F.col("right_id").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    inside = both.withColumn("before", F.last(offer, ignorenulls=True).over(back)).withColumn("after", F.last(offer, ignorenulls=True).over(on)).where("right_id is null").select("entity", "slot", "us", "before", "after")
+    inside = both.withColumn("before", F.last(offer, ignorenulls=True).over(back)).withColumn("after", F.last(offer, ignorenulls=True).over(on)).where("right_id is null")
+    inside = inside.select("entity", "us", F.least(F.when(F.col("before").isNotNull(), gap("before")), F.when(F.col("after").isNotNull(), gap("after"))).alias("best"))
 
-    # between slots: summaries stand in their own bucket and the adjacent ones
-    summary = offered.groupBy("entity", "slot").agg(F.min(F.struct("us", "right_id")).alias("first"), F.max(F.struct("us", "right_id")).alias("last"))
-    text = "struct<us:bigint,right_id:string>"
-    summary = summary.select("entity", "slot", F.col("first").cast(text).alias("first"), F.col("last").cast(text).alias("last"), F.explode(F.array(*[F.expr(f"slot * {SECOND} div {width}") + k for k in (-1, 0, 1)])).alias("b"), F.lit(False).alias("ask"))
-    wanted = asked.select("entity", "slot").distinct().select("entity", "slot", F.lit(None).cast(text).alias("first"), F.lit(None).cast(text).alias("last"), F.expr(f"slot * {SECOND} div {width}").alias("b"), F.lit(True).alias("ask"))
-    across = Window.partitionBy("entity", "b")
-    # a slot's own summary sorts so that it is neither before nor after the slot that asks
-    earlier = across.orderBy(F.col("slot").asc(), F.col("ask").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    later = across.orderBy(F.col("slot").desc(), F.col("ask").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    slots = wanted.unionByName(summary).withColumn("prev", F.last("last", ignorenulls=True).over(earlier)).withColumn("next", F.last("first", ignorenulls=True).over(later)).where("ask").select(F.col("entity").alias("e"), F.col("slot").alias("s"), "prev", "next")
-    met = inside.join(slots, (F.col("entity") == F.col("e")) & (F.col("slot") == F.col("s")))
-    gap = lambda c: F.when(F.col(c).isNotNull() & (F.abs(F.col(f"{c}.us") - F.col("us")) <= tolerance_us), F.struct(F.abs(F.col(f"{c}.us") - F.col("us")).alias("gap_us"), F.col(f"{c}.right_id").alias("right_id")))
-    best = met.select("entity", "us", F.least(gap("before"), gap("after"), gap("prev"), gap("next")).alias("best")).where("best is not null")
+    met = inside.unionByName(across).where(F.col("best.gap_us") <= tolerance_us)
+    best = met.groupBy("entity", "us").agg(F.min("best").alias("best"))
     found = cut(best.select(F.col("entity").alias("_e"), F.col("us").alias("_u"), "best.right_id", "best.gap_us"))
     return left.join(small(found), (F.col("entity") == F.col("_e")) & (F.col("us") == F.col("_u"))).select("left_id", "right_id", "gap_us")
 
