@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.operators import instants, malformed, orphans, redelivery
+from tallyloom.plans import data_oracle
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,6 +25,21 @@ def p1_states(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("source_name", "instant_format", "instant_state").count().withColumnRenamed("count", "n")
 
 
+def p1_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Times of both legs read without any declared date order, against the reading with it: rows by source and outcome."""
+    from pyspark.sql import functions as F
+
+    feeds = _table(spark, d, "feeds")
+    out = None
+    for leg in ("payments", "order_txns"):
+        told = instants.resolve_instants(_table(spark, d, leg), "txn_ts", "source_name", "received_at", feeds, "told", keep=["source_name", "txn_ts", "received_at"])
+        both = instants.resolve_instants(told, "txn_ts", "source_name", "received_at", feeds.withColumn("date_order", F.lit(None).cast("string")), "free", keep=["source_name", "told_us"])
+        outcome = F.when(F.col("free_state") == "ambiguous", "ambiguous").when(F.col("free_us").eqNullSafe(F.col("told_us")), "same").otherwise("other")
+        part = both.groupBy(F.lit(leg).alias("leg"), "source_name", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Redelivered payments rows."""
     return redelivery.redelivered(spark, f"{d}/payments.parquet", ["record_uid"], dropped=True)
@@ -61,7 +77,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_states, p2_found, p2_kept, p2_flag_audit, p4_found, p4_parsed, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_inferred, p2_found, p2_kept, p2_flag_audit, p4_found, p4_parsed, p6_found, p6_counts)}
 
 _TRIM = r"upper(regexp_replace(txn_id, '^\s+|\s+$', '', 'g'))"
 _COPIES = f"""
@@ -86,7 +102,7 @@ _ORPHANS = f"""
            case when not there then 'missing' when d <= t then 'deleted' when a > t then 'late' end as ref_state
     from x) where ref_state is not null"""
 
-ORACLES = {
+ORACLES = data_oracle.ORACLES | {
     "p2_found": _COPIES,
     "p2_kept": f"select * from payments where record_uid not in ({_COPIES})",
     "p2_flag_audit": f"""

@@ -116,3 +116,19 @@ def test_fit_prefers_the_commoner_format():
     out = fit_source(pd.DataFrame({"signature": ["dmy:5", "dmy:5/mdy:22", "mdy:20"], "n": [90, 10, 1]}))
     assert out.set_index("signature").loc["dmy:5/mdy:22", "choice"] == 1
     assert out.posterior.iloc[0] == pytest.approx(1, abs=0.01)
+
+
+def test_declared_order_is_a_prior(spark):
+    """The declared order settles what it can read; what only another order reads is no time, however well that fits."""
+    feeds = spark.createDataFrame([("s", "UTC", "DMY"), ("y", "UTC", "ymd")], FEEDS)
+    t = datetime(2026, 3, 4, 10)
+    rows = [(f"m{i}", "s", (t + timedelta(days=i)).strftime("%d/%m/%Y"), t + timedelta(days=i)) for i in range(9)]
+    feeds = feeds.unionByName(spark.createDataFrame([("m", "UTC", "mdy")], FEEDS))
+    rows += [("same", "m", "10/10/2026", datetime(2026, 10, 10)), ("ysame", "y", "10/10/10", None)]
+    rows += [("us", "s", "03/04/2026", datetime(2026, 3, 4)), ("no", "s", "03/25/2026", datetime(2026, 3, 25)), ("rare", "s", "20260304T000000Z", None), ("y1", "y", "26/03/04", t), ("y2", "y", "03/04/2026", t)]
+    got = {r["record_uid"]: r for r in resolve_instants(spark.createDataFrame(rows, IN), "txn_ts", "source_name", "received_at", feeds).collect()}
+    assert all(got[f"m{i}"]["instant_format"] == "dmy" for i in range(9))
+    assert got["us"]["instant_us"] == us(2026, 4, 3)
+    assert (got["no"]["instant_state"], got["no"]["instant_us"]) == ("unreadable", None)
+    assert got["rare"]["instant_us"] == us(2026, 3, 4) and got["y1"]["instant_us"] == us(2026, 3, 4) and got["y2"]["instant_state"] == "unreadable"
+    assert (got["same"]["instant_us"], got["same"]["instant_format"]) == (us(2026, 10, 10), "mdy") and got["ysame"]["instant_format"] == "ymd"
