@@ -135,13 +135,6 @@ _PARSED = f"""
   final as (select *, case when early is not null then early when raw is not null and not blank and us is null then 'timestamp' end as reason from read)"""
 _MINOR = """case when reason is null and raw is not null then
       try_cast(regexp_replace(amount, '\\D', '', 'g') as bigint) * case when regexp_matches(amount, '\\.\\d\\d\\)?$') then 1 else 100 end * case when left(amount, 1) in ('-', '(') then -1 else 1 end end"""
-_NEAREST = f"""
-  with {times("select record_uid, merchant_id, txn_ts as tx, zone_name as z, date_order as o from payments p left join feeds f on p.source_name = f.source_name where merchant_id is not null")},
-  asked as (select record_uid, merchant_id, epoch_us(txn_ts) as t from settlements where trim(coalesce(txn_id, '')) = '' and trim(coalesce(order_id, '')) = '')
-  select payment_uid, settlement_uid from (
-    select p.record_uid as payment_uid, a.record_uid as settlement_uid, row_number() over (partition by a.record_uid order by abs(p.us - a.t), p.record_uid) as n
-    from asked a join read p on p.merchant_id = a.merchant_id and p.us between a.t - 900000000 and a.t + 900000000) where n = 1"""
-
 ORACLES = {
     "p1_found": f"with {times(_LEGS)} select leg, record_uid, us as instant_us from read where us is not null and not regexp_matches(tx, '{_CANONICAL}')",
     "p1_states": f"""with {times(_LEGS)} select source_name, fmt as instant_format, case when blank then 'missing' when us is null then 'unreadable' else 'resolved' end as instant_state, count(*) as n
@@ -151,4 +144,3 @@ ORACLES = {
       select record_uid, reason as parse_reason, {_MINOR} as parsed_amount_minor, case when reason is null and known is not null and raw is not null then upper(currency) end as parsed_currency,
         case when reason is null and known is not null and raw is not null then us end as parsed_instant_us from final""",
 }
-NEAREST = _NEAREST

@@ -57,7 +57,15 @@ def p2_flag_audit(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Every payments line with its reason or its values."""
-    return malformed.parse_lines(_table(spark, d, "payments"), _table(spark, d, "feeds"), keep=["record_uid"])
+    return malformed.parse_lines(_table(spark, d, "payments"), _table(spark, d, "feeds"), keep=["record_uid"]).drop("parse_field")
+
+
+def p4_broken_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Failed lines by source, reason and the first broken field."""
+    from pyspark.sql import functions as F
+
+    got = malformed.parse_lines(_table(spark, d, "payments"), _table(spark, d, "feeds"), keep=["source_name"])
+    return got.where("parse_reason is not null").groupBy("source_name", "parse_reason", "parse_field").agg(F.count("*").alias("n"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +85,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_inferred, p2_found, p2_kept, p2_flag_audit, p4_found, p4_parsed, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_inferred, p2_found, p2_kept, p2_flag_audit, p4_found, p4_parsed, p4_broken_fields, p6_found, p6_counts)}
 
 _TRIM = r"upper(regexp_replace(txn_id, '^\s+|\s+$', '', 'g'))"
 _COPIES = f"""

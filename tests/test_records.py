@@ -109,6 +109,24 @@ def test_reasons(spark):
     assert malformed.parse_lines(df.limit(0), feeds).count() == 0
 
 
+def test_long_lines_equal_short_ones(spark):
+    """The same line with a narration of 10,000 characters has the same reason, field and values."""
+    feeds = spark.createDataFrame(FEEDS, "source_name string, zone_name string, date_order string, delimiter string, raw_format string")
+    base = [(s, r) for s, r, _ in LINES if r and len(r) < 1000]
+    base += [("j", doc()[:-1] + ', "status": "again"}'), ("j", doc().replace('"fee"', '"fie"')), ("j", doc().replace('"1.00"', "01")), ("j", doc(amount="٣")), ("p", line("|", c3="٣")), ("j", doc(currency=" INR ")), ("p", line("|", c5="\tINR"))]
+    rows = []
+    for i, (s, r) in enumerate(base):
+        marked = r.replace("hi", "hi" + "x" * 3) if "hi" in r else r
+        rows += [(i, 0, s, marked), (i, 1, s, marked.replace("hixxx", "hi" + "x" * 10_000))]
+    got = {}
+    for r in malformed.parse_lines(spark.createDataFrame(rows, "i int, long int, source_name string, raw string"), feeds).collect():
+        got[r["i"], r["long"]] = (r["parse_reason"], r["parse_field"], r["parsed_amount_minor"], r["parsed_currency"], r["parsed_instant_us"])
+    for i, (s, r) in enumerate(base):
+        assert got[i, 0] == got[i, 1], (s, r)
+    n = len(base)
+    assert got[n - 7, 1][:2] == ("json", None) and got[n - 6, 1][:2] == ("columns", 5)
+
+
 ORD = "record_uid string, order_id string, received_at timestamp_ntz, deleted_at timestamp_ntz"
 
 
