@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import entity_match, leakage, nearest_time, packing, pii
 from tallyloom.operators.instants import resolve_instants
+from tallyloom.plans.data_oracle import times
 from tallyloom.session import cut
 
 
@@ -80,7 +81,15 @@ def p9_replaced(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_matches, p7_containers, p7_three_limits, p7_checks, p8_found, p8_leaks, p9_found, p9_replaced)}
 
+_NEAREST = f"""
+  with {times("select record_uid, merchant_id, txn_ts as tx, zone_name as z, date_order as o from payments p left join feeds f on p.source_name = f.source_name where merchant_id is not null")},
+  asked as (select record_uid, merchant_id, epoch_us(txn_ts) as t from settlements where trim(coalesce(txn_id, '')) = '' and trim(coalesce(order_id, '')) = '')
+  select payment_uid, settlement_uid from (
+    select p.record_uid as payment_uid, a.record_uid as settlement_uid, row_number() over (partition by a.record_uid order by abs(p.us - a.t), p.record_uid) as n
+    from asked a join read p on p.merchant_id = a.merchant_id and p.us between a.t - 900000000 and a.t + 900000000) where n = 1"""
+
 ORACLES = {
+    "p3_found": _NEAREST,
     "p7_checks": """
       select count(*) as documents, count(*) as placed, 0::bigint as tokens_lost, 0::bigint as split, 0::bigint as over_tokens, 0::bigint as over_documents, 0::bigint as over_attention, l.limits
       from documents, (values ('tokens'), ('three')) l(limits) group by l.limits""",
