@@ -80,12 +80,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.find_orphans(_table(spark, d, "payments"), _table(spark, d, "settlements"), _table(spark, d, "recon"), _table(spark, d, "order_txns"))
 
 
+def p6_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans as known at the end of each of four increments of equal time."""
+    return orphans.play(_table(spark, d, "payments"), _table(spark, d, "settlements"), _table(spark, d, "recon"), _table(spark, d, "order_txns"), 4, snapshots=True).table("snapshots")
+
+
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     """The snapshot of orphans per table, day and state."""
     return orphans.orphan_counts(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_inferred, p2_found, p2_kept, p2_flag_audit, p4_found, p4_parsed, p4_broken_fields, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_inferred, p2_found, p2_kept, p2_flag_audit, p4_found, p4_parsed, p4_broken_fields, p6_found, p6_counts, p6_snapshots)}
 
 _TRIM = r"upper(regexp_replace(txn_id, '^\s+|\s+$', '', 'g'))"
 _COPIES = f"""
@@ -110,6 +115,26 @@ _ORPHANS = f"""
            case when not there then 'missing' when d <= t then 'deleted' when a > t then 'late' end as ref_state
     from x) where ref_state is not null"""
 
+_SNAPSHOTS = f"""
+  with r as (
+    select 'payments' as child, {_KEY.format("order_id")} as k, received_at as t from payments
+    union all
+    select 'settlements', {_KEY.format("regexp_extract(reference_id, '(?i)ORD[A-Z]*[-_ ]?[0-9]+')")}, received_at from settlements
+    union all
+    select 'recon', '#' || order_uid, built_at from recon),
+  p as (
+    select {_KEY.format("order_id")} as k, received_at as a, deleted_at as d from order_txns
+    union all
+    select '#' || record_uid, received_at, deleted_at from order_txns),
+  span as (select epoch_us(min(t)) as low, epoch_us(max(t)) as high from r where k is not null),
+  edges as (select make_timestamp(case when i = 4 then high else low + cast(round_even((high - low) * i / 4, 0) as bigint) end) as e, i from span, (values (1), (2), (3), (4)) v(i)),
+  seen as (
+    select e, i, k, min(a) filter (a <= e or i = 4) as a, min(d) filter (greatest(a, d) <= e or i = 4) as d from p, edges group by 1, 2, 3),
+  x as (
+    select edges.e, child, case when s.a is null then 'missing' when s.d <= t then 'deleted' when s.a > t then 'late' end as ref_state
+    from r join edges on (t <= edges.e or t is null) left join seen s on s.k = r.k and s.e = edges.e where r.k is not null)
+  select e as as_of, child, ref_state, count(*) as cases from x where ref_state is not null group by 1, 2, 3"""
+
 ORACLES = data_oracle.ORACLES | {
     "p2_found": _COPIES,
     "p2_kept": f"select * from payments where record_uid not in ({_COPIES})",
@@ -119,5 +144,6 @@ ORACLES = data_oracle.ORACLES | {
       from payment_dupes f left join ({_COPIES}) c on f.record_uid = c.record_uid
       where f.record_uid is not null group by 1""",
     "p6_found": _ORPHANS,
+    "p6_snapshots": _SNAPSHOTS,
     "p6_counts": f"select child, period, ref_state, count(*) as cases from ({_ORPHANS}) group by 1, 2, 3",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ def local_session(name: str = "tallyloom", cores: str = "*", partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,12 +31,17 @@ def local_session(name: str = "tallyloom", cores: str = "*", partitions: int = 8
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one where none is set, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one in local mode where none is set, as in tests.
+
+    Elsewhere a missing folder is an error: executors would each write to a disk of their own.
+    """
     context = spark.sparkContext
     at = context.getCheckpointDir()
     if at:
         return at
     wanted = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="tallyloom-"))
     return context.getCheckpointDir()
 
@@ -45,6 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path within the shared one."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is. df should be cheap to count (a file or a cut)."""
     n = df.limit(rows + 1).count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,11 +13,15 @@ EVENT = "kind string, child string, child_key string, ref string, at timestamp_n
 
 
 class OrphanStream:
-    """Advances a ledger by every micro-batch; a batch that is replayed after a failure is skipped."""
+    """Advances a ledger by every micro-batch. Ledger and epoch are written together to a shared folder and taken up from
+    there by a new process; a batch that is replayed after a failure is skipped."""
 
-    def __init__(self, spark):
-        self.ledger = OrphanLedger.empty(spark)
-        self.last = -1
+    def __init__(self, spark: SparkSession, folder: str):
+        self.ledger = OrphanLedger.load(spark, folder)
+
+    @property
+    def last(self) -> int:
+        return self.ledger.epoch
 
     def take(self, batch: DataFrame, epoch: int) -> None:
         if epoch <= self.last:
@@ -25,8 +29,8 @@ class OrphanStream:
         none = F.lit(None).cast("timestamp_ntz")
         refs = batch.where("kind = 'reference'").select("child", "child_key", "ref", "at")
         parents = batch.where("kind in ('parent', 'deletion')").select("ref", F.when(F.col("kind") == "parent", F.col("at")).otherwise(none).alias("arrived"), F.when(F.col("kind") == "deletion", F.col("at")).otherwise(none).alias("deleted"))
-        self.ledger = self.ledger.advance(refs, parents)
-        self.last = epoch
+        as_of = batch.agg(F.max("at")).first()[0]
+        self.ledger = self.ledger.advance(refs, parents, as_of).commit(epoch)
 
     def start(self, events: DataFrame, checkpoint: str) -> StreamingQuery:
         """events: a streaming frame of EVENT; checkpoint: a shared folder for the stream's own progress."""

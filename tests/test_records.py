@@ -163,3 +163,16 @@ def test_later_deletion_reopens(spark):
     assert ledger.waiting.count() == 1
     ledger = ledger.advance(none, spark.createDataFrame([("ORD8", at(30), None)], orphans.PARENT))
     assert {tuple(r)[1:] for r in ledger.orphans().collect()} == {("p1", "2026-10-01", "deleted"), ("p3", "2026-10-01", "late")}
+
+
+def test_state_stays_small(spark):
+    """Over many increments the parts of a table, and with them its plan, stay few; forgetting drops old good references."""
+    ledger = orphans.OrphanLedger.empty(spark)
+    none = spark.createDataFrame([], orphans.PARENT)
+    for i in range(12):
+        refs = spark.createDataFrame([("payments", f"p{i}", f"ORD{i % 3}", at(10 + i))], orphans.REFERENCE)
+        ledger = ledger.advance(refs, spark.createDataFrame([(f"ORD{i}", at(i), None)], orphans.PARENT) if i < 2 else none, at(i), at(5 + i) if i == 9 else None)
+        assert all(len(p) <= 6 for p in ledger.parts.values())
+    assert ledger.waiting.count() == 4 and ledger.bad.count() == 0
+    assert ledger.good.count() == len([i for i in range(12) if i % 3 < 2 and 10 + i >= 14])
+    assert ledger.table("snapshots").where("cases > 0").count() == 10
