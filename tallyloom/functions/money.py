@@ -15,7 +15,7 @@ def minor_units(c: Column, numeric: bool, scale: int = 100) -> Column:
         value = c.cast("double")
     else:
         bare = F.regexp_replace(c, r"[^0-9.()\-]", "")
-        value = F.regexp_replace(bare, r"\((.*)\)", "-$1").try_cast("double")
+        value = F.regexp_replace(bare, r"^\((.*)\)$", "-$1").try_cast("double")
     return F.rint(F.coalesce(value, F.lit(0.0)) * scale).cast("long")
 
 

@@ -61,6 +61,7 @@ def unexplained(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.when(F.col("settlement_uid").isNotNull(), F.col("settlement_delta_minor") - F.col("expected_fee_minor")).otherwise(F.coalesce("payment_amount_minor", F.lit(0))).alias("unexplained_minor"))
 
 
+# The fields that decide a case, and below the columns of a slim case.
 FINGERPRINT = ("exception_type", "order_amount_minor", "payment_amount_minor", "settlement_amount_minor", "expected_fee_minor", "payment_delta_minor", "settlement_delta_minor", "has_order", "has_payment", "has_settlement", "is_duplicate", "currency")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import CONFIG
 from tallyloom.functions.money import minor_units, rupees
 from tallyloom.operators import cascade, cases, duplicates, normalize, reports
-from tallyloom.plans import legs
+from tallyloom.plans import legs, messy
 from tallyloom.session import checkpoint_dir, cut
 from tallyloom.sources.export import flattened
 
@@ -63,16 +63,15 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rendered(spark: SparkSession, d: str) -> DataFrame:
-    """o_totalprice and o_orderdate as text in four spellings each, by k % 4; a time in 500 is none."""
-    x = _orders(spark, d).select(F.col("o_orderkey").alias("k"), F.rint(F.col("o_totalprice") * 100).cast("long").alias("amt"), F.col("o_orderdate").alias("day"))
+    """o_totalprice as text in four spellings, by k % 4."""
+    x = _orders(spark, d).select(F.col("o_orderkey").alias("k"), F.rint(F.col("o_totalprice") * 100).cast("long").alias("amt"))
     kind = F.col("k") % 4
     cents = F.lpad((F.col("amt") % 100).cast("string"), 2, "0")
     whole = F.floor(F.col("amt") / 100)
     plain = F.concat(whole.cast("string"), F.lit("."), cents)
     grouped = F.concat(F.lit("₹"), F.format_number(whole, 0), F.lit("."), cents)
     money = F.when(kind == 0, plain).when(kind == 1, grouped).when(kind == 2, F.concat(F.lit("INR "), plain)).otherwise(F.concat(F.lit("("), plain, F.lit(")")))
-    time = F.when(F.col("k") % 500 == 499, "garbage").when(kind == 0, F.date_format("day", "yyyy-MM-dd HH:mm:ss")).when(kind == 1, F.date_format("day", "yyyy-MM-dd")).when(kind == 2, F.date_format("day", "dd/MM/yyyy")).otherwise(F.date_format("day", "yyyy/MM/dd"))
-    return x.select("k", money.alias("money"), time.alias("time"))
+    return x.select("k", money.alias("money"))
 
 
 def money_parse(spark, d):
@@ -80,7 +79,9 @@ def money_parse(spark, d):
 
 
 def timestamp_parse(spark, d):
-    return _rendered(spark, d).select("k", normalize.read_time(F.col("time")).alias("txn_ts"))
+    """o_orderdate written in every listed format by k % 10, as none and as null."""
+    k = F.col("o_orderkey")
+    return _orders(spark, d).select(k.alias("k"), normalize.read_time(messy.spelt_time(k, F.col("o_orderdate"))).alias("txn_ts"))
 
 
 def status_flags(spark, d):

@@ -259,7 +259,6 @@ ORACLES = {
     ),
     "score_bands": _cases("select case when confidence >= 0.6 then 'HIGH' when confidence >= 0.4 then 'MIDDLE' else 'LOW' end as band, count(*) as n from cases group by 1"),
     "money_parse": _over(_RENDERED, "select k, case when k % 4 = 3 then -amt else amt end as amount_minor from rendered"),
-    "timestamp_parse": _over(_RENDERED, "select k, case when k % 500 = 499 then null when k % 4 = 0 then date_trunc('second', day) else date_trunc('day', day) end as txn_ts from rendered"),
     "status_flags": f"select record_uid, lower(coalesce(status, '')) in ({', '.join(f"'{s}'" for s in REFUNDED)}) or coalesce(amount_minor < 0, false) as is_refund, lower(coalesce(status, '')) in ({', '.join(f"'{s}'" for s in FAILED)}) as is_failed from payments",
     "ref_digits": "select record_uid, regexp_replace(reference_id, '[^\\p{Nd}]', '', 'g') as digits from payments",
     "money_display": _over(

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
 
+# The canonical columns in their order.
 CANONICAL = T.StructType(
     [T.StructField(n, _S) for n in ("record_uid", "source_kind", "source_name", "txn_id", "order_id", "reference_id", "ref_digits", "merchant_id")]
     + [T.StructField("amount_minor", _L), T.StructField("fee_minor", _L), T.StructField("currency", _S), T.StructField("txn_ts", T.TimestampNTZType()), T.StructField("day_bucket", T.DateType()), T.StructField("status", _S), T.StructField("is_refund", T.BooleanType()), T.StructField("raw", _S)]

@@ -14,13 +14,13 @@ import compare  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
 from tallyloom.functions.money import minor_units, rupees, with_display  # noqa: E402
 from tallyloom.operators import cascade, cases, duplicates, normalize, reports  # noqa: E402
-from tallyloom.plans import data_queries, engine_queries, legs, oracle  # noqa: E402
+from tallyloom.plans import data_queries, engine_queries, legs, messy, oracle  # noqa: E402
 from tallyloom.sources import export  # noqa: E402
 
 T0 = datetime(2026, 8, 1, 10)
 
 
-@pytest.mark.parametrize("name", [*oracle.ORACLES, *data_queries.ORACLES])
+@pytest.mark.parametrize("name", [*oracle.ORACLES, *messy.ORACLES, *data_queries.ORACLES])
 def test_oracle(spark, sf, name):
     con = compare.connect(sf)
     assert compare.compare(spark, con, sf, entry.queries()[name], entry.oracle_sql()[name]) == ""
@@ -119,7 +119,7 @@ def test_occurrences(spark):
 
 
 def test_money(spark):
-    texts = [("₹1,250.00", 125_000), ("(500.50)", -50_050), ("99.999", 10_000), ("-(5)", 0), ("1e5", 1_500), ("", 0), (None, 0), ("garbage", 0), ("9" * 500, None)]
+    texts = [("₹1,250.00", 125_000), ("(500.50)", -50_050), ("99.999", 10_000), ("-(5)", 0), ("1e5", 1_500), ("", 0), (None, 0), ("garbage", 0), ("(5)3", 0), ("9" * 500, None)]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
     for r in df.where(F.length("t").isNull() | (F.length("t") < 100)).select("i", minor_units(F.col("t"), False).alias("m")).collect():
         assert r["m"] == texts[r["i"]][1], texts[r["i"]]
@@ -147,6 +147,33 @@ def test_normalize(spark, tmp_path):
     assert export.load_any(spark, str(tmp_path / "a.csv")).count() == len(rows)
 
 
+def test_listed_times(spark):
+    texts = {"08/25/2026 10:00:00": datetime(2026, 8, 25, 10), "25/08/2026 10:00:00": datetime(2026, 8, 25, 10), "03/04/2026": datetime(2026, 4, 3), "08/25/2026": datetime(2026, 8, 25), "25-08-2026": datetime(2026, 8, 25), "2026/08/25": datetime(2026, 8, 25), "2026-08-25T10:00:00": datetime(2026, 8, 25, 10), " 2026-08-25 ": datetime(2026, 8, 25), "soon": None, "": None, "x" * 100_000: None}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), None)], "i int, t string")
+    got = {r["i"]: r["x"] for r in df.select("i", normalize.read_time(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values()) and got[len(texts)] is None
+
+
+@pytest.mark.parametrize("kind", ["csv", "jsonl", "parquet"])
+def test_numbers_follow_files(spark, tmp_path, kind):
+    """Rows are numbered in the order of files and of rows within them, without failed ones, whatever the size of splits."""
+    path = f"{tmp_path}/a.{kind}"
+    df = spark.range(5000).orderBy("id").select(F.concat(F.lit("T"), "id").alias("txn_id"), F.when(F.col("id") % 10 == 3, "failed").otherwise("ok").alias("status"))
+    df = df.repartitionByRange(3, F.col("txn_id")).sortWithinPartitions(F.substring("txn_id", 2, 9).cast("int"))
+    (df.write.option("header", True).csv if kind == "csv" else df.write.json if kind == "jsonl" else df.write.parquet)(path)
+    rows = [r for f in sorted(Path(path).glob("part-*")) for r in export.load_any(spark, f"{f}").collect()] if kind == "parquet" else None
+    seen = []
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        out = normalize.normalize(export.load_any(spark, path), "ORDER", "x")
+        assert "Exchange rangepartitioning" not in out._jdf.queryExecution().toString()
+        seen.append(sorted((r["record_uid"], r["txn_id"]) for r in out.collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert seen[0] == seen[1] and [u for u, _ in seen[0]] == [f"ORD-{i:010}" for i in range(4500)]
+    if rows:
+        assert [t for _, t in seen[0]] == [r["txn_id"] for r in rows if r["status"] == "ok"]
+
+
 def test_sinks(spark, sf, tmp_path):
     run = engine_queries.run_of(spark, sf)
     export.write_run(run, str(tmp_path))
