@@ -52,12 +52,12 @@ class Rule:
     keys: tuple[tuple[str, str], ...]
     evidence: tuple[str, ...]
     keep: Callable[[EngineConfig], Column] = lambda c: F.lit(True)
-    offsets: tuple[int, ...] = (0,)
+    offsets: Callable[[EngineConfig], tuple[int, ...]] = lambda c: (0,)
     #: Sign of the offset: the right day is the left day plus sign times offset; 0: days play no part.
     day_sign: int = 0
     #: Prepares a side: adds or filters key columns.
-    left: Callable[[DataFrame], DataFrame] = lambda df: df
-    right: Callable[[DataFrame], DataFrame] = lambda df: df
+    left: Callable[[DataFrame, EngineConfig], DataFrame] = lambda df, c: df
+    right: Callable[[DataFrame, EngineConfig], DataFrame] = lambda df, c: df
     #: The keys are ids, of which each row has one: ranks then run in the join's own partitions.
     by_id: bool = False
 
@@ -78,15 +78,22 @@ def score(evidence: tuple[str, ...], config: EngineConfig, window_sec: int) -> C
     return reduce(lambda a, b: a + b, map(weight, evidence)).cast("double")
 
 
-def _filled(c: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.where(F.col(c).isNotNull() & (F.col(c) != ""))
+def fired(holds: dict[str, Column]) -> tuple[Column, Column]:
+    """(score, names of the evidence that holds, in the order of WEIGHTS); what is missing or null does not hold."""
+    names = F.array_compact(F.array(*[F.when(F.coalesce(holds[k], F.lit(False)), F.lit(k)) for k in WEIGHTS if k in holds]))
+    weights = [F.when(F.coalesce(holds[k], F.lit(False)), F.lit(w).cast("decimal(4,2)")).otherwise(F.lit("0").cast("decimal(4,2)")) for k, w in WEIGHTS.items() if k in holds]
+    return reduce(lambda a, b: a + b, weights).cast("double"), names
 
 
-def _long_digits(df: DataFrame) -> DataFrame:
+def _filled(c: str) -> Callable[[DataFrame, EngineConfig], DataFrame]:
+    return lambda df, _: df.where(F.col(c).isNotNull() & (F.col(c) != ""))
+
+
+def _long_digits(df: DataFrame, _: EngineConfig) -> DataFrame:
     return df.where(F.length("ref_digits") >= 5)
 
 
-def _runs(df: DataFrame) -> DataFrame:
+def _runs(df: DataFrame, _: EngineConfig) -> DataFrame:
     """A row for every distinct substring of the digit runs of order_id: containment becomes equality."""
     runs = F.regexp_extract_all("order_id", F.lit(r"(\p{Nd}+)"), F.lit(1))
     cuts = lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.length(r) - i + 1), lambda n: F.substring(r, i, n))))
@@ -97,6 +104,10 @@ def _bucket(c: Column, size: int) -> Column:
     return F.rint(c / size).cast("long")
 
 
+def _in_buckets(df: DataFrame, c: EngineConfig) -> DataFrame:
+    return df.withColumn("bucket", _bucket(F.col("amount_minor"), c.amount_bucket))
+
+
 def contradicted() -> Column:
     """Both sides have both ids and all of them differ."""
     there = lambda c: _l(c).isNotNull() & (_l(c) != "") & _r(c).isNotNull() & (_r(c) != "") & (_l(c) != _r(c))
@@ -123,8 +134,7 @@ ORDER_PAYMENT = (
     Rule(
         "L5", "blocked_merchant_amount_day", (*_MC, ("bucket", "bucket")), _ID,
         keep=lambda c: (_apart() <= c.amount_bucket) & (F.abs(seconds_between()) <= c.window_sec) & ~contradicted(),
-        offsets=(0, -1, 1), day_sign=-1,
-        left=lambda df: df.withColumn("bucket", _bucket(F.col("amount_minor"), CONFIG.amount_bucket)), right=lambda df: df.withColumn("bucket", _bucket(F.col("amount_minor"), CONFIG.amount_bucket)),
+        offsets=lambda c: (0, -1, 1), day_sign=-1, left=_in_buckets, right=_in_buckets,
     ),
 )
 
@@ -135,7 +145,7 @@ PAYMENT_SETTLEMENT = (
     Rule(
         "L5", "blocked_merchant_net_of_fee", _MC, ("same_merchant", "within_window"),
         keep=lambda c: (_r("amount_minor") <= _l("amount_minor") + c.amount_tolerance) & (_r("amount_minor") >= _l("amount_minor") - _l("amount_minor") / 10) & seconds_between().between(0, c.settlement_sec) & ~contradicted(),
-        offsets=tuple(range(CONFIG.settlement_days + 1)), day_sign=1,
+        offsets=lambda c: tuple(range(c.settlement_days + 1)), day_sign=1,
     ),
 )
 
@@ -148,8 +158,8 @@ def _terms(rule: Rule, config: EngineConfig, window_sec: int) -> tuple[Column, l
 
 def candidates(left: DataFrame, right: DataFrame, rule: Rule, offset: int, config: EngineConfig, window_sec: int, terms: tuple[Column, list[Column]] | None = None) -> DataFrame:
     """All pairs that satisfy the rule, with deltas and confidence."""
-    a = rule.left(left.select(*NARROW))
-    b = rule.right(right.select(*NARROW))
+    a = rule.left(left.select(*NARROW), config)
+    b = rule.right(right.select(*NARROW), config)
     a, b = (x.toDF(*[f"{p}_{c}" for c in x.columns]) for x, p in ((a, "l"), (b, "r")))
     on = " and ".join(f"l_{x} = r_{y}" for x, y in rule.keys)
     if rule.day_sign:
@@ -169,7 +179,7 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
 
 def single_pass(left: DataFrame, right: DataFrame, rule: Rule, offset: int = 0, config: EngineConfig = CONFIG, window_sec: int | None = None, terms: tuple[Column, list[Column]] | None = None) -> DataFrame:
     """The rule's mutual bests over whole legs."""
-    return mutual_best(candidates(left, right, rule, offset, config, window_sec or config.window_sec, terms))
+    return mutual_best(candidates(left, right, rule, offset, config, config.window_sec if window_sec is None else window_sec, terms))
 
 
 def run_cascade(left: DataFrame, right: DataFrame, rules: tuple[Rule, ...], exclude_left: DataFrame | None = None, config: EngineConfig = CONFIG, window_sec: int | None = None) -> tuple[DataFrame, list[tuple[str, str, int, int]]]:
@@ -186,8 +196,8 @@ def run_cascade(left: DataFrame, right: DataFrame, rules: tuple[Rule, ...], excl
     n_a, n_b = a.count(), b.count()
     since, linked = None, 0  # links made since the pending sides were last written
     for rule in rules:
-        terms = _terms(rule, config, window_sec or config.window_sec)
-        for offset in rule.offsets:
+        terms = _terms(rule, config, config.window_sec if window_sec is None else window_sec)
+        for offset in rule.offsets(config):
             n = 0
             if n_a and n_b:
                 new = cut(single_pass(_without(a, since, "left_uid"), _without(b, since, "right_uid"), rule, offset, config, window_sec, terms))

@@ -44,6 +44,30 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def recount(cases: DataFrame, status: str, values: tuple[str, ...]) -> DataFrame:
+    """run_summary() with a count of cases for each value of a status column, as n_<value>; other and null values are not counted."""
+    counts = cases.agg(*[F.count_if(F.col(status) == v).alias(f"n_{v.lower()}") for v in values])
+    return run_summary(cases).join(F.broadcast(counts))  # one row each
+
+
+def rates(cases: DataFrame, records: int | Column, seconds: float, open_cases: Column) -> DataFrame:
+    """One row: match_rate, coverage (share of cases still open), coverage_of_records and throughput; 0 over nothing."""
+    share = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(0.0)
+    records, seconds = (x if isinstance(x, Column) else F.lit(x) for x in (records, seconds))
+    x = cases.agg(F.count("*").alias("n"), F.count_if(F.col("exception_type") == MATCHED).alias("m"), F.count_if(open_cases).alias("o"))
+    return x.select(share(F.col("m"), F.col("n")).alias("match_rate"), share(F.col("o"), F.col("n")).alias("coverage"), share(F.col("o"), records).alias("coverage_of_records"), share(records, seconds).alias("throughput"))
+
+
+def one_case(cases: DataFrame, case_id: str) -> DataFrame:
+    """The case of that id, or no row."""
+    return cases.where(F.col("case_id") == case_id)
+
+
+def unique_truth(truth: DataFrame) -> DataFrame:
+    """One row an order_id: of several labels the first by name; nulls are left out."""
+    return truth.where("order_id is not null").groupBy("order_id").agg(F.min("expected_label").alias("expected_label"))
+
+
 def exception_page(cases: DataFrame, offset: int, limit: int, types: list[str] | None = None, merchant: str | None = None, least_impact: int = 0) -> DataFrame:
     """A page of exceptions, dearest first, with the number of all that the filters admit."""
     x = exceptions(cases).withColumn("impact_minor", impact()).where(F.col("impact_minor") >= least_impact)
@@ -112,7 +136,8 @@ def gravest(cases: DataFrame) -> DataFrame:
 
 
 def confusion(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """expected, predicted, n; truth (order_id, expected_label) without a prediction is MISSING_FROM_OUTPUT."""
+    """expected, predicted, n; truth (order_id, expected_label) counts once an order and without a prediction is MISSING_FROM_OUTPUT."""
+    truth = unique_truth(truth)
     p = predicted.select(F.col("order_id").alias("_o"), "predicted")
     return truth.join(p, F.col("order_id") == F.col("_o"), "left").groupBy(F.col("expected_label").alias("expected"), F.coalesce("predicted", F.lit("MISSING_FROM_OUTPUT")).alias("predicted")).agg(F.count("*").alias("n"))
 

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.config import CONFIG
+from tallyloom.config import CONFIG, EngineConfig
 from tallyloom.functions.money import minor_units, rupees
-from tallyloom.operators import cascade, cases, duplicates, normalize, reports
+from tallyloom.operators import cascade, cases, duplicates, normalize, reports, verdicts
 from tallyloom.plans import legs, messy
 from tallyloom.session import checkpoint_dir, cut
 from tallyloom.sources.export import flattened
+from tallyloom.sources.generate import generate_dataset
 
 
 @dataclass
@@ -32,16 +34,16 @@ class Run:
 _RUNS: dict[tuple[str, str], Run] = {}
 
 
-def reconcile(orders: DataFrame, payments: DataFrame, settlements: DataFrame) -> Run:
+def reconcile(orders: DataFrame, payments: DataFrame, settlements: DataFrame, config: EngineConfig = CONFIG) -> Run:
     """The whole pass over three canonical legs: repeats, both cascades and cases. The cascades don't depend on each other and run side by side."""
     checkpoint_dir(orders.sparkSession)
     with ThreadPoolExecutor(2) as pool:
-        first = pool.submit(inheritable_thread_target(orders.sparkSession)(cascade.run_cascade), orders, payments, cascade.ORDER_PAYMENT)
+        first = pool.submit(inheritable_thread_target(orders.sparkSession)(cascade.run_cascade), orders, payments, cascade.ORDER_PAYMENT, config=config)
         repeats = cut(duplicates.repeated_payments(payments))
-        ps, ps_stats = cascade.run_cascade(payments, settlements, cascade.PAYMENT_SETTLEMENT, exclude_left=repeats, window_sec=CONFIG.settlement_sec)
+        ps, ps_stats = cascade.run_cascade(payments, settlements, cascade.PAYMENT_SETTLEMENT, exclude_left=repeats, config=config, window_sec=config.settlement_sec)
         op, op_stats = first.result()
     stats = cascade.stats_frame(orders.sparkSession, op_stats, ps_stats)
-    return Run(orders, payments, settlements, repeats, op, ps, stats, cut(cases.build_cases(orders, payments, settlements, op, ps, repeats)))
+    return Run(orders, payments, settlements, repeats, op, ps, stats, cut(cases.build_cases(orders, payments, settlements, op, ps, repeats, config)))
 
 
 def forget() -> None:
@@ -93,12 +95,23 @@ def ref_digits(spark, d):
     return spark.read.parquet(f"{d}/payments.parquet").select("record_uid", normalize.digits(F.col("reference_id")).alias("digits"))
 
 
-def _rule_query(leg: str, n: int):
+def _rule_query(leg: str, n: int, offset: int = 0):
     def query(spark, d):
         run = run_of(spark, d)
         if leg == "op":
-            return cascade.single_pass(run.orders, run.payments, cascade.ORDER_PAYMENT[n])
-        return cascade.single_pass(run.payments, run.settlements, cascade.PAYMENT_SETTLEMENT[n], window_sec=CONFIG.settlement_sec)
+            return cascade.single_pass(run.orders, run.payments, cascade.ORDER_PAYMENT[n], offset)
+        return cascade.single_pass(run.payments, run.settlements, cascade.PAYMENT_SETTLEMENT[n], offset, window_sec=CONFIG.settlement_sec)
+
+    return query
+
+
+def _swept(leg: str, n: int):
+    """A swept rule over whole legs, each day offset by itself."""
+
+    def query(spark, d):
+        rule = (cascade.ORDER_PAYMENT if leg == "op" else cascade.PAYMENT_SETTLEMENT)[n]
+        parts = [_rule_query(leg, n, k)(spark, d).withColumn("day_offset", F.lit(k)) for k in rule.offsets(CONFIG)]
+        return reduce(DataFrame.unionByName, parts)
 
     return query
 
@@ -166,6 +179,88 @@ def score_bands(spark, d):
     return run_of(spark, d).cases.groupBy(reports.score_band(F.col("confidence"), 0.6, 0.4).alias("band")).agg(F.count("*").alias("n"))
 
 
+def _with_status(spark, d):
+    """Cases with a made-up status: decided by the reviewers of merged_decisions, else open if an exception."""
+    decided = merged_decisions(spark, d).select(F.col("case_id").alias("_id"), "decision")
+    return run_of(spark, d).cases.join(decided, F.col("case_id") == F.col("_id")).withColumn("status", F.when(F.col("decision") != "NONE", F.col("decision")).when(F.col("exception_type") != "MATCHED", "OPEN").otherwise("CLOSED")).drop("_id", "decision")
+
+
+def case_recount(spark, d):
+    return reports.recount(_with_status(spark, d), "status", ("ACCEPTED", "REOPENED", "OPEN", "CLOSED"))
+
+
+def breakdown_by_status(spark, d):
+    """Two keys, and both measures of impact."""
+    x = _with_status(spark, d)
+    a = reports.breakdown(x, ["exception_type", "status"], reports.impact())
+    b = reports.breakdown(x, ["exception_type", "status"], reports.net_impact()).select(F.col("exception_type").alias("_t"), F.col("status").alias("_s"), F.col("impact_minor").alias("net_impact_minor"))
+    return a.join(b, (F.col("exception_type") == F.col("_t")) & (F.col("status") == F.col("_s"))).drop("_t", "_s")
+
+
+def run_rates(spark, d):
+    """Rates of a run that is said to have taken ten seconds."""
+    run = run_of(spark, d)
+    n = sum(x.count() for x in (run.orders, run.payments, run.settlements))
+    return reports.rates(_with_status(spark, d), n, 10.0, F.col("status") == "OPEN")
+
+
+def case_lookup(spark, d):
+    return reports.one_case(run_of(spark, d).cases, "ORD-0000000007")
+
+
+def truth_unique(spark, d):
+    """The truth written twice, the second time with another label for every fifth order."""
+    t = legs.truth(_orders(spark, d))
+    again = t.withColumn("expected_label", F.when(F.substring("order_id", -1, 1).isin("0", "5"), "AMOUNT_MISMATCH").otherwise(F.col("expected_label")))
+    return reports.unique_truth(t.unionByName(again))
+
+
+def fired_evidence(spark, d):
+    """Score and evidence of the links of orders and payments, derived again from both records."""
+    run = run_of(spark, d)
+    a, b = (x.select(*[F.col(c).alias(f"{p}_{c}") for c in cascade.NARROW]) for x, p in ((run.orders, "l"), (run.payments, "r")))
+    x = run.op_links.select("left_uid", "right_uid").join(a, F.col("left_uid") == F.col("l_record_uid")).join(b, F.col("right_uid") == F.col("r_record_uid"))
+    same = lambda c: F.col(f"l_{c}") == F.col(f"r_{c}")
+    score, names = cascade.fired({"exact_txn_id": same("txn_id"), "exact_order_id": same("order_id"), "exact_amount": same("amount_minor"), "reference_digits": same("ref_digits") & (F.length("l_ref_digits") > 3), "same_merchant": same("merchant_id"), "within_window": F.abs(cascade.seconds_between()) <= CONFIG.window_sec})
+    return x.select("left_uid", "right_uid", score.alias("score"), F.array_join(names, " ").alias("fired"))
+
+
+def _verdicts(cases):
+    """Made-up verdicts: on every second exception, a few of them broken, and one on a case that does not exist."""
+    n = F.regexp_extract("case_id", r"(\d+)$", 1).cast("long")
+    v = reports.exceptions(cases).where(n % 2 == 0).select(
+        "case_id", F.when(n % 14 == 0, "NOTHING").otherwise(F.col("exception_type")).alias("classification"), F.when(n % 4 == 0, "RESOLVED").otherwise("NEEDS_HUMAN").alias("resolution"), F.when(n % 22 == 0, 1.5).otherwise((n % 10) / 10).cast("double").alias("confidence"),
+        F.when(n % 26 == 0, F.repeat(F.lit("x"), 501)).otherwise("as shown").alias("explanation"), F.when(n % 34 == 0, F.array_repeat(F.lit("e"), 7)).otherwise(F.array(F.lit("e"))).alias("evidence"), F.lit(None).cast("string").alias("suggested_action"),
+    )
+    return v.unionByName(cases.sparkSession.createDataFrame([("NO-SUCH-0", "MATCHED", "RESOLVED", 0.5, "x", None, None)], verdicts.VERDICT))
+
+
+def verdict_checks(spark, d):
+    return verdicts.checked(_verdicts(run_of(spark, d).cases)).select("case_id", F.array_join("broken", " ").alias("broken"))
+
+
+def verdict_memory(spark, d):
+    """Every exception with the verdict that a case of its fingerprint got before."""
+    cases = run_of(spark, d).cases
+    slim = reports.slim(reports.exceptions(cases))
+    got = verdicts.recalled(slim, verdicts.remembered(slim, _verdicts(cases)))
+    return got.drop("fingerprint", "explanation")
+
+
+def verdict_stage(spark, d):
+    cases = run_of(spark, d).cases
+    slim = reports.slim(reports.exceptions(cases))
+    v = _verdicts(cases)
+    return verdicts.stage_stats(slim, v, verdicts.remembered(slim, v.where(F.col("confidence") >= 0.8)), 500, 12)
+
+
+def generated_truth(spark, d):
+    """The engine against the truth of 4,000 generated orders."""
+    t = generate_dataset(spark, 4_000, seed=99)
+    run = reconcile(*(cut(normalize.normalize(t[leg], kind, leg)) for leg, kind in (("orders", "ORDER"), ("payments", "PAYMENT"), ("settlements", "SETTLEMENT"))))
+    return reports.confusion(t["ground_truth"], reports.gravest(run.cases))
+
+
 def money_display(spark, d):
     return _orders(spark, d).select(F.col("o_orderkey").alias("k"), rupees(F.rint(F.col("o_totalprice") * 100).cast("long") * (F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1))).alias("display"))
 
@@ -197,9 +292,9 @@ QUERIES = {
     "ps_links": lambda s, d: run_of(s, d).ps_links,
 }
 for _n, _name in enumerate(("l1", "l3", "l4", "l2a", "l2b", "l5")):
-    QUERIES[f"op_{_name}"] = _rule_query("op", _n)
+    QUERIES[f"op_{_name}"] = _rule_query("op", _n) if _name != "l5" else _swept("op", _n)
 for _n, _name in enumerate(("l1", "l2", "l3", "l5")):
-    QUERIES[f"ps_{_name}"] = _rule_query("ps", _n)
+    QUERIES[f"ps_{_name}"] = _rule_query("ps", _n) if _name != "l5" else _swept("ps", _n)
 for _name, _report in _CASES.items():
     QUERIES[_name] = lambda s, d, r=_report: r(run_of(s, d).cases)
-QUERIES |= {f.__name__: f for f in (money_parse, timestamp_parse, status_flags, ref_digits, links_all, cascade_stats, cascade_rollup, ai_candidates, mix_top10, by_merchant_top8, largest_breaks, fingerprint_groups, merged_decisions, severity_dedupe, confusion_matrix, accuracy_metrics, score_bands, money_display, export_flatten)}
+QUERIES |= {f.__name__: f for f in (money_parse, timestamp_parse, status_flags, ref_digits, links_all, cascade_stats, cascade_rollup, ai_candidates, mix_top10, by_merchant_top8, largest_breaks, fingerprint_groups, merged_decisions, severity_dedupe, confusion_matrix, accuracy_metrics, score_bands, money_display, export_flatten, case_recount, breakdown_by_status, run_rates, case_lookup, truth_unique, fired_evidence, verdict_checks, verdict_memory, verdict_stage, generated_truth)}

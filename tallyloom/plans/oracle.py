@@ -272,7 +272,62 @@ ORACLES = {
         """select exception_type, coalesce(array_to_string(list_sort(list(distinct op_rule) filter (op_rule is not null)), ' | '), '') as rules, '{"first":"' || min(case_id) || '","last":"' || max(case_id) || '"}' as span from cases group by 1"""
     ),
 }
-# one rule over whole legs; of swept rules the first day offset
+_STATUSES = """
+statuses as (
+  select *, case when n % 9 = 0 then 'REOPENED' when n % 3 = 0 then 'ACCEPTED' when exception_type <> 'MATCHED' then 'OPEN' else 'CLOSED' end as status
+  from (select *, regexp_extract(case_id, '(\\d+)$', 1)::bigint as n from cases))"""
+_VERDICTS = """
+verdicts as (
+  select case_id, case when n % 14 = 0 then 'NOTHING' else exception_type end as classification, case when n % 4 = 0 then 'RESOLVED' else 'NEEDS_HUMAN' end as resolution, case when n % 22 = 0 then 1.5 else (n % 10) / 10 end::double as confidence,
+    n, exception_type, order_amount_minor, payment_amount_minor, settlement_amount_minor, expected_fee_minor, payment_delta_minor, settlement_delta_minor, order_uid is null as a, payment_uid is null as b, settlement_uid is null as c, is_duplicate, currency
+  from (select *, regexp_extract(case_id, '(\\d+)$', 1)::bigint as n from cases) where exception_type <> 'MATCHED' and n % 2 = 0)"""
+_ALIKE = "exception_type, order_amount_minor, payment_amount_minor, settlement_amount_minor, expected_fee_minor, payment_delta_minor, settlement_delta_minor, a, b, c, is_duplicate, currency"
+_OPEN_CASES = "(select *, order_uid is null as a, payment_uid is null as b, settlement_uid is null as c from cases where exception_type <> 'MATCHED')"
+
+
+def _met(least: float) -> str:
+    """Exceptions with the surest verdict on a case alike."""
+    return f"""
+met as (
+  select x.case_id, m.v from {_OPEN_CASES} x
+  left join (select {_ALIKE}, max({{'confidence': confidence, 'classification': classification, 'resolution': resolution}}) as v from verdicts where confidence >= {least} group by all) m
+  on {" and ".join(f"x.{k} is not distinct from m.{k}" for k in _ALIKE.split(", "))})"""
+
+
+_WITH = f"{_LINKS},\n{_RECON}"
+ORACLES |= {
+    "case_recount": _over(f"{_WITH},{_STATUSES}", f"select {_TOTALS}, " + ", ".join(f"count(*) filter (status = '{v}') as n_{v.lower()}" for v in ("ACCEPTED", "REOPENED", "OPEN", "CLOSED")) + " from statuses"),
+    "breakdown_by_status": _over(f"{_WITH},{_STATUSES}", f"select exception_type, status, count(*) as n, cast(sum({_IMPACT}) as bigint) as impact_minor, cast(sum(abs(payment_delta_minor + settlement_delta_minor)) as bigint) as net_impact_minor from statuses group by 1, 2"),
+    "run_rates": _over(
+        f"{_WITH},{_STATUSES}",
+        """select round(count(*) filter (exception_type = 'MATCHED') / count(*), 6) as match_rate, round(count(*) filter (status = 'OPEN') / count(*), 6) as coverage, round(count(*) filter (status = 'OPEN') / any_value(r), 6) as coverage_of_records,
+  round(any_value(r) / 10, 6) as throughput from statuses, (select (select count(*) from legs_o) + (select count(*) from legs_p) + (select count(*) from legs_s) as r)""",
+    ),
+    "case_lookup": _cases("select * from cases where case_id = 'ORD-0000000007'"),
+    "truth_unique": _over(f"{_LINKS},\n{_RECON},{_GRAVE},{_TRUTH}", "select order_id, min(l) as expected_label from (select order_id, expected_label as l from truth union all select order_id, case when order_id[-1:] in ('0', '5') then 'AMOUNT_MISMATCH' else expected_label end from truth) group by 1"),
+    "fired_evidence": _over(
+        _LINKS,
+        f"""select left_uid, right_uid, cast(case when t then 0.40 else 0 end + case when o then 0.25 else 0 end + case when a then 0.20 else 0 end + case when g then 0.05 else 0 end + case when m then 0.05 else 0 end + case when w then 0.05 else 0 end as double) as score,
+  concat_ws(' ', case when t then 'exact_txn_id' end, case when o then 'exact_order_id' end, case when a then 'exact_amount' end, case when g then 'reference_digits' end, case when m then 'same_merchant' end, case when w then 'within_window' end) as fired
+  from (select left_uid, right_uid, l.txn_id = r.txn_id as t, l.order_id = r.order_id as o, l.amount_minor = r.amount_minor as a, l.ref_digits = r.ref_digits and length(l.ref_digits) > 3 as g, l.merchant_id = r.merchant_id as m, abs({_DT}) <= 172800 as w
+    from op_links k join legs_o l on l.record_uid = k.left_uid join legs_p r on r.record_uid = k.right_uid)""",
+    ),
+    "verdict_checks": _over(
+        f"{_WITH},{_VERDICTS}",
+        """select case_id, concat_ws(' ', case when n % 14 = 0 then 'classification' end, case when n % 22 = 0 then 'confidence' end, case when n % 26 = 0 then 'explanation' end, case when n % 34 = 0 then 'evidence' end) as broken from verdicts
+  union all select 'NO-SUCH-0', ''""",
+    ),
+    "verdict_memory": _over(f"{_WITH},{_VERDICTS},{_met(-1)}", "select case_id, v.classification as classification, v.resolution as resolution, v.confidence as confidence, v is not null as from_cache from met"),
+    "verdict_stage": _over(
+        f"{_WITH},{_VERDICTS},{_met(0.8)}",
+        """select analyzed, hits as cache_hits, greatest(analyzed - hits - 500, 0) as skipped_over_budget, cast(ceil(least(analyzed - hits, 500) / 12) as bigint) as calls, answered, greatest(least(analyzed - hits, 500) - answered, 0) as unanswered, 1::bigint as unknown, broken from (
+    select count(*) as analyzed, count(*) filter (v is not null) as hits, count(*) filter (v is null and case_id in (select case_id from verdicts)) as answered, (select count(*) from verdicts where n % 14 = 0 or n % 22 = 0 or n % 26 = 0 or n % 34 = 0) as broken from met)""",
+    ),
+}
+# one rule over whole legs; swept rules once a day offset
 for _tag, _left, _right, _passes in (("op", "legs_o", "legs_p", _OP), ("ps", "legs_p", "legs_s", _PS)):
     for _p in _passes:
-        ORACLES.setdefault(f"{_tag}_{_p[0]}", _over(_BASE, _pass(_left, _right, _p)))
+        _name = f"{_tag}_{_p[0]}"
+        if _p[0] != "l5":
+            ORACLES[_name] = _over(_BASE, _pass(_left, _right, _p))
+    ORACLES[f"{_tag}_l5"] = _over(_BASE, " union all ".join(f"select *, {_p[5]}::integer as day_offset from ({_pass(_left, _right, _p)})" for _p in _passes if _p[0] == "l5"))
