@@ -90,6 +90,9 @@ def winnow(h: np.ndarray, w: int = WINDOW) -> np.ndarray:
     """Positions of the least hash of each window (the last of equals)."""
     if len(h) <= w:
         return np.array([len(h) - 1 - int(np.argmin(h[::-1]))]) if len(h) else np.zeros(0, int)
+    if w == 2:
+        at = np.arange(len(h) - 1) + (h[1:] <= h[:-1])
+        return at[np.concatenate([[True], at[1:] != at[:-1]])]
     views = np.lib.stride_tricks.sliding_window_view(h, w)
     at = np.arange(len(views)) + (w - 1 - np.argmin(views[:, ::-1], axis=1))
     return at[np.concatenate([[True], at[1:] != at[:-1]])]  # positions never go back
@@ -130,22 +133,36 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             h = grams(w)
             if len(h):
                 around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(BACK, -1), w, np.full(AHEAD, -1)]), BACK + AHEAD)[: len(h)]
-                yield pd.DataFrame({"g": h.view(np.int64), "item_id": item, "p": np.arange(len(h)), "beside": list(around.astype(np.int32))})
+                yield pd.DataFrame({"g": h.view(np.int64), "item_id": item, "p": np.arange(len(h)), "beside": _cells(around)})
 
 
 def _ids(text: str, hashes: WordHash) -> np.ndarray:
     return np.fromiter([hashes[w] for w in words_of(text)], np.int64)
 
 
-def text_hits(ids: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, places, words around) of a text's winnowed fingerprints that the bitmap admits."""
-    h = grams(ids)
+def _cells(rows: np.ndarray) -> list[bytes]:
+    """Each row of 32-bit numbers as bytes, which travel cheaper than lists."""
+    data, width = rows.astype(np.int32).tobytes(), rows.shape[1] * 4
+    return [data[i : i + width] for i in range(0, len(data), width)]
+
+
+def _rows(cells: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.int32).reshape(len(cells), -1)
+
+
+def text_hits(texts: list[np.ndarray], bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, fingerprint, place, words around) of the texts' winnowed fingerprints that the bitmap admits."""
+    gap = np.zeros(BACK + AHEAD + 4, np.int64)
+    flat = np.concatenate([gap, *(x for ids in texts for x in (ids, gap))])
+    begin = np.cumsum([len(gap), *(len(ids) + len(gap) for ids in texts[:-1])])
+    h = grams(flat)
     keep = winnow(h)
     low = h[keep] & np.uint64(BITMAP_BITS - 1)
     keep = keep[(bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-    padded = np.concatenate([np.zeros(BACK + 2, np.int64), ids, np.zeros(AHEAD + 2, np.int64)])
-    around = np.lib.stride_tricks.sliding_window_view(padded, BACK + AHEAD + 4)[keep].astype(np.int32)
-    return h[keep].view(np.int64), keep, around
+    keep = keep[(flat[keep] > 0) & (flat[keep + K - 1] > 0)]  # no gap within
+    text = np.searchsorted(begin, keep, "right") - 1
+    around = np.lib.stride_tricks.sliding_window_view(flat, BACK + AHEAD + 4)[keep - BACK - 2]
+    return text, h[keep].view(np.int64), keep - begin[text], around
 
 
 def agreeing(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -208,7 +225,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     spark = documents.sparkSession
     rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).groupBy(F.col(item_id).cast("bigint").alias("item_id")).agg(F.min(text).alias("text"))
     held = cut(rows.mapInPandas(_items, "item_id bigint, words array<int>, raw array<int>"))
-    prints = cut(held.select("item_id", "words").mapInPandas(_prints, "g bigint, item_id bigint, p int, beside array<int>"))
+    prints = cut(held.select("item_id", "words").mapInPandas(_prints, "g bigint, item_id bigint, p int, beside binary"))
     # one row a 32,768 fingerprint values, 4,096 rows at most
     low = f"(g & {BITMAP_BITS - 1})"
     bits = prints.groupBy(F.expr(f"{low} div 32768").alias("at")).agg(F.expr(f"bitmap_construct_agg({low} % 32768)").alias("bits")).collect()
@@ -221,24 +238,21 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, table = WordHash(), np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
-                g, at, around = text_hits(_ids(t, hashes), table)
-                if len(g):
-                    out.append(pd.DataFrame({"doc_id": i, "h": g, "at": at, "around": list(around)}))
-            if out:
-                yield pd.concat(out)
+            ids, texts = b["doc_id"].to_numpy(), b["text"].tolist()
+            for a in range(0, len(texts), 128):
+                text, g, at, around = text_hits([_ids(t, hashes) for t in texts[a : a + 128]], table)
+                yield pd.DataFrame({"doc_id": ids[a + text], "h": g, "at": at, "around": _cells(around)})
 
     @F.pandas_udf("boolean")
     def near(doc: pd.Series, item: pd.Series) -> pd.Series:
-        return pd.Series(agreeing(np.stack(doc.to_numpy()), np.stack(item.to_numpy())) >= AGREE if len(doc) else [], dtype=bool)
+        return pd.Series(agreeing(_rows(doc), _rows(item)) >= AGREE if len(doc) else [], dtype=bool)
 
-    met = docs.mapInPandas(scan, "doc_id bigint, h bigint, at int, around array<int>").join(small(prints, PRINTS_ROWS), F.col("h") == F.col("g"))
+    met = docs.mapInPandas(scan, "doc_id bigint, h bigint, at int, around binary").join(small(prints, PRINTS_ROWS), F.col("h") == F.col("g"))
     met = met.where(near("around", "beside")).select("doc_id", "item_id", (F.col("at") - F.col("p")).alias("corner"))
     pairs = met.groupBy("doc_id", "item_id").agg(F.collect_set("corner").alias("corners")).join(small(held, PRINTS_ROWS), "item_id")
     # what one document leaks is bounded by its own length
     wanted = cut(pairs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("item_id", "corners", "words", "raw")).alias("pairs")))
-    again = docs.join(small(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "pairs")
+    again = docs.join(small(wanted, 50_000), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "pairs")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
