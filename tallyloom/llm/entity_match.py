@@ -23,6 +23,8 @@ FEATURES = ("s_ref", "s_amount", "s_time", "s_currency")
 #: Variances are kept at or above these and drawn towards the pairs' own by SHRINK pseudo-pairs.
 FLOOR = {"s_ref": 0.02**2, "s_amount": 0.08**2, "s_time": 0.15**2, "s_currency": 0.05**2}
 SHRINK = 2.0
+#: Pseudo-pairs of each unmatched component whose references have nothing in common, as unrelated numbers don't.
+UNRELATED = 20.0
 #: Iterations end once no component's weight moves by more than this share of itself, or after MOST_ITERATIONS.
 CONVERGED = 0.02
 MOST_ITERATIONS = 25
@@ -185,6 +187,8 @@ def _moments(weighted: DataFrame, fixed: DataFrame) -> list[dict]:
             centre = sum(row[f"a{j}_{f}"] or 0.0 for j in range(4)) / total
             spread = max(sum(row[f"b{j}_{f}"] or 0.0 for j in range(4)) / total - centre * centre, FLOOR[f])
             w, a, b = (row[f"{x}{k}_{f}"] or 0.0 for x in "nab")
+            if f == "s_ref" and k >= 2:
+                w += UNRELATED
             mean[f] = (a + 1e-3 * centre) / (w + 1e-3)
             var[f] = max((b - 2 * mean[f] * a + mean[f] ** 2 * w + SHRINK * min(spread, 4 * FLOOR[f])) / (w + SHRINK), FLOOR[f])
         model.append({"weight": max((row[f"w{k}"] or 0.0) / n, 1e-6), "mean": mean, "var": var})
@@ -248,7 +252,7 @@ def lost_payments(payments: DataFrame, feeds: DataFrame) -> DataFrame:
     """Input rows for match(): payments with a blank order_id and no digit in txn_id."""
     lost = payments.where(F.coalesce(F.col("order_id").rlike(r"^[\s\p{Z}]*$"), F.lit(True)) & ~F.coalesce(F.col("txn_id").rlike("[0-9]"), F.lit(False)))
     lost = cut(lost.select("record_uid", "merchant_id", "amount_minor", "currency", "txn_ts", "source_name", "received_at", "reference_id"))
-    seen = resolve_instants(lost, "txn_ts", "source_name", "received_at", feeds)
+    seen = cut(resolve_instants(lost, "txn_ts", "source_name", "received_at", feeds))
     arrived = F.unix_micros(F.col("received_at").cast("timestamp"))
     return seen.select(F.col("record_uid").alias("uid"), merchant_key(F.col("merchant_id")).alias("merchant"), F.col("amount_minor").alias("amount"), "currency", F.coalesce("instant_us", arrived).alias("us"), arrived.alias("arrived_us"), reference_core(F.col("reference_id")).alias("ref"))
 
