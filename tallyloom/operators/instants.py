@@ -82,8 +82,8 @@ def resolve_instants(df: DataFrame, text: str, source: str, arrival: str, feeds:
     made = [f"{out}_us", f"{out}_format", f"{out}_posterior", f"{out}_state"]
     df = df.drop(*made)
     kept = keep if keep is not None else df.columns
-    # the caller's columns travel in one struct, so that their names can't clash with working columns
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(text).alias("_text"), F.col(source).alias("_source"), F.col(arrival).alias("_arrival"))
+    # the caller's columns travel under numbers, so that their names can't clash with working columns
+    df = df.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(kept)], F.col(text).alias("_text"), F.col(source).alias("_source"), F.col(arrival).alias("_arrival"))
     text, source, arrival = "_text", "_source", "_arrival"
     if feeds is None:
         wide = df.withColumns({"_zone": F.lit(None).cast("string"), "_order": F.lit(None).cast("string")})
@@ -125,7 +125,7 @@ def resolve_instants(df: DataFrame, text: str, source: str, arrival: str, feeds:
     state = F.when(blank, "missing").when(F.col("_us").isNull(), "unreadable").when(F.col("_post") < MIN_POSTERIOR, "ambiguous").otherwise("resolved")
     wide = wide.withColumn("_state", state)
     return wide.select(
-        "_row.*",
+        *[F.col(f"_in{i}").alias(c) for i, c in enumerate(kept)],
         F.when(F.col("_state") == "resolved", F.col("_us")).alias(made[0]),
         F.when(F.col("_us").isNotNull(), F.col("_fmt")).alias(made[1]),
         F.when(F.col("_us").isNotNull(), F.col("_post")).alias(made[2]),

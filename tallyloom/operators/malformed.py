@@ -131,8 +131,8 @@ def parse_lines(df: DataFrame, feeds: DataFrame, raw: str = "raw", source: str =
     made = ["parse_reason", "parse_field", "parsed_amount_minor", "parsed_currency", "parsed_instant_us"]
     df = df.drop(*made)
     kept = keep if keep is not None else df.columns
-    # the caller's columns travel in one struct, so that their names can't clash with working columns
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(raw).alias("_raw"), F.col(source).alias("_source"))
+    # the caller's columns travel under numbers, so that their names can't clash with working columns
+    df = df.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(kept)], F.col(raw).alias("_raw"), F.col(source).alias("_source"))
     raw, source = "_raw", "_source"
     schemas = [r[0] for r in feeds.where("raw_format = 'delimited' and delimiter is not null").select("delimiter").distinct().orderBy("delimiter").collect()]  # fixed and few
     known = feeds.groupBy(F.col("source_name").alias("_feed")).agg(F.min("delimiter").alias("_d"), F.min("raw_format").alias("_format"), F.min("zone_name").alias("_zone"), F.min("date_order").alias("_order"))
@@ -188,7 +188,7 @@ def parse_lines(df: DataFrame, feeds: DataFrame, raw: str = "raw", source: str =
     value = digits.try_cast("decimal(36,0)") * scale * F.when(F.col("_amount").rlike(r"^[-(]"), -1).otherwise(1)
     sound = F.col("_final").isNull()
     return y.select(
-        "_row.*",
+        *[F.col(f"_in{i}").alias(c) for i, c in enumerate(kept)],
         F.col("_final").alias(made[0]),
         F.when(F.col("_final").isin("json", "quoting", "columns"), F.col("_broken")).when(F.col("_final") == "amount", 4).when(F.col("_final") == "currency", 6).when(F.col("_final") == "timestamp", 7).alias(made[1]),
         F.when(sound, value.try_cast("bigint")).alias(made[2]),
