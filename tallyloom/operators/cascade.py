@@ -11,12 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.config import CONFIG, EngineConfig
 from tallyloom.schema import LINKS
-from tallyloom.session import cut
+from tallyloom.session import cut, cut_counted
 
 NARROW = ("record_uid", "txn_id", "order_id", "ref_digits", "merchant_id", "currency", "amount_minor", "txn_ts", "day_bucket")
 
@@ -26,6 +27,8 @@ WEIGHTS = {"exact_txn_id": "0.40", "exact_order_id": "0.25", "exact_amount": "0.
 #: Pending sides are written anew once the links since the last time reach this share of them.
 REWRITE = 1.0
 ONE_PARTITION = 20_000
+#: Pairs of a swept rule that one task may hold, some 30 MB.
+SWEEP_PAIRS = 200_000
 
 
 def _l(c: str) -> Column:
@@ -182,13 +185,41 @@ def single_pass(left: DataFrame, right: DataFrame, rule: Rule, offset: int = 0,
     return mutual_best(candidates(left, right, rule, offset, config, config.window_sec if window_sec is None else window_sec, terms))
 
 
+def swept_pairs(left: DataFrame, right: DataFrame, rule: Rule, config: EngineConfig, window_sec: int, terms: tuple[Column, list[Column]]) -> DataFrame:
+    """candidates() of all the rule's offsets by one join, with place: the offset's number in their order."""
+    a, b = rule.left(left.select(*NARROW), config), rule.right(right.select(*NARROW), config)
+    a = a.select("*", F.posexplode(F.array(*[F.lit(k) for k in rule.offsets(config)])).alias("place", "offset"))
+    a, b = (x.toDF(*[f"{p}_{c}" for c in x.columns]) for x, p in ((a, "l"), (b, "r")))
+    on = " and ".join([*(f"l_{x} = r_{y}" for x, y in rule.keys), f"date_add(l_day_bucket, {rule.day_sign} * l_offset) = r_day_bucket"])
+    keep, out = terms
+    return a.join(b, F.expr(on)).where(keep).select(*out, F.col("l_place").alias("place"))
+
+
+def _sweep(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Mutual bests of one place after the other, each among what the earlier ones left."""
+    pairs = pairs.assign(_a=pairs["amount_delta_minor"].abs(), _t=pairs["time_delta_sec"].abs())
+    out, lefts, rights = [], set(), set()
+    for _, x in pairs.groupby("place", sort=True):
+        x = x[~x["left_uid"].isin(lefts) & ~x["right_uid"].isin(rights)]
+        rank = {"by": ["confidence", "_a", "_t"], "ascending": [False, True, True]}
+        of_left = x.sort_values(rank["by"] + ["right_uid"], ascending=rank["ascending"] + [True], na_position="last").drop_duplicates("left_uid").index
+        of_right = x.sort_values(rank["by"] + ["left_uid"], ascending=rank["ascending"] + [True], na_position="last").drop_duplicates("right_uid").index
+        won = x.loc[of_left.intersection(of_right)]
+        lefts |= set(won["left_uid"])
+        rights |= set(won["right_uid"])
+        out.append(won)
+    return pd.concat(out)[pairs.columns[:-2]] if out else pairs[pairs.columns[:-2]]
+
+
 def run_cascade(left: DataFrame, right: DataFrame, rules: tuple[Rule, ...], exclude_left: DataFrame | None = None, config: EngineConfig = CONFIG, window_sec: int | None = None) -> tuple[DataFrame, list[tuple[str, str, int, int]]]:
     """(links, statistics (stage, rule, offset, matched) of every pass).
 
     Null ids and blank references link nothing. Empty legs give no links and a zero for every pass. A pass is skipped once
-    either side is empty.
+    either side is empty. The offsets of a swept rule share one join; if it has at most SWEEP_PAIRS pairs one task plays the
+    passes over them, else each pass is a job of its own, with the same result.
     """
     spark = left.sparkSession
+    window_sec = config.window_sec if window_sec is None else window_sec
     a, b = left.select(*NARROW), right.select(*NARROW)
     if exclude_left is not None:
         a = a.join(exclude_left.select("record_uid").distinct(), "record_uid", "left_anti")
@@ -196,23 +227,47 @@ def run_cascade(left: DataFrame, right: DataFrame, rules: tuple[Rule, ...], excl
     n_a, n_b = a.count(), b.count()
     since, linked = None, 0  # links made since the pending sides were last written
     for rule in rules:
-        terms = _terms(rule, config, config.window_sec if window_sec is None else window_sec)
-        for offset in rule.offsets(config):
-            n = 0
-            if n_a and n_b:
-                new = cut(single_pass(_without(a, since, "left_uid"), _without(b, since, "right_uid"), rule, offset, config, window_sec, terms))
-                n = new.count()
-            stats.append((rule.stage, rule.name, offset, n))
-            if n:
-                links = links.unionByName(new)
-                since = new if since is None else since.unionByName(new)
-                n_a, n_b, linked = n_a - n, n_b - n, linked + n
-                if linked >= REWRITE * min(n_a, n_b) and n_a and n_b:
-                    a, b = _written(_without(a, since, "left_uid"), n_a), _written(_without(b, since, "right_uid"), n_b)
-                    since, linked = None, 0
+        terms = _terms(rule, config, window_sec)
+        offsets = rule.offsets(config)
+        counts = dict.fromkeys(range(len(offsets)), 0)
+        new, n = None, 0
+        if n_a and n_b:
+            x, y = _without(a, since, "left_uid"), _without(b, since, "right_uid")
+            if len(offsets) == 1:
+                new, n = cut_counted(single_pass(x, y, rule, offsets[0], config, window_sec, terms))
+                counts[0] = n
+            else:
+                new, counts = _swept(swept_pairs(x, y, rule, config, window_sec, terms), counts)
+                n = sum(counts.values())
+        stats += [(rule.stage, rule.name, offset, counts[i]) for i, offset in enumerate(offsets)]
+        if n:
+            links = links.unionByName(new)
+            since = new if since is None else since.unionByName(new)
+            n_a, n_b, linked = n_a - n, n_b - n, linked + n
+            if rule is not rules[-1] and linked >= REWRITE * min(n_a, n_b) and n_a and n_b:
+                a, b = _written(_without(a, since, "left_uid"), n_a), _written(_without(b, since, "right_uid"), n_b)
+                since, linked = None, 0
     return links, stats
 
 
+def _swept(pairs: DataFrame, counts: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """(links, links by place) of a swept rule's pairs."""
+    pairs, n = cut_counted(pairs)
+    columns = [f.name for f in LINKS]
+    if n <= SWEEP_PAIRS:
+        done = cut(pairs.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda x: _sweep(x.drop(columns="_all", errors="ignore")), pairs.schema))
+        counts = counts | {r["place"]: r["count"] for r in done.groupBy("place").count().collect()}  # a row an offset
+        return done.select(*columns), counts
+    done, counts = None, dict(counts)
+    for place in counts:
+        x = pairs.where(F.col("place") == place).drop("place")
+        if done is not None:
+            x = x.join(done.select("left_uid"), "left_uid", "left_anti").join(done.select("right_uid"), "right_uid", "left_anti")
+        won, counts[place] = cut_counted(mutual_best(x).select(*columns))
+        done = won if done is None else done.unionByName(won)
+    return done, counts
+
+
 def _without(side: DataFrame, links: DataFrame | None, uid: str) -> DataFrame:
     return side if links is None else side.join(links.select(F.col(uid).alias("record_uid")), "record_uid", "left_anti")
 

@@ -11,26 +11,30 @@ _ORDER = ["order_uid", "payment_uid", "order_id", "merchant_id", "currency", "or
 _SETTLEMENT = ["settlement_uid", "settlement_amount_minor", "settlement_fee_minor", "settlement_ts", "ps_confidence", "ps_time_delta_sec"]
 
 
-def _padded(df: DataFrame, like: DataFrame) -> DataFrame:
-    types = {f.name: f.dataType for f in like.schema}
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in like.columns])
-
-
 def build_cases(orders: DataFrame, payments: DataFrame, settlements: DataFrame, op_links: DataFrame, ps_links: DataFrame, repeats: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
-    """One row a case, with its legs, deltas and type. Empty legs are fine; a repeat's reason is the first by name."""
-    p = payments.select(F.col("record_uid").alias("payment_uid"), F.col("order_id").alias("p_order_id"), F.col("merchant_id").alias("payment_merchant_id"), F.col("currency").alias("payment_currency"), F.col("amount_minor").alias("payment_amount_minor"), F.col("fee_minor").alias("payment_fee_minor"), F.col("txn_ts").alias("payment_ts"), F.col("is_refund").alias("payment_is_refund"))
-    op = op_links.select(F.col("left_uid").alias("_l"), F.col("right_uid").alias("_r"), F.col("confidence").alias("op_confidence"), F.col("stage").alias("op_stage"), F.col("rule").alias("op_rule"), F.col("time_delta_sec").alias("op_time_delta_sec"))
-    o = orders.select(F.col("record_uid").alias("order_uid"), "order_id", "merchant_id", "currency", F.col("amount_minor").alias("order_amount_minor"), F.col("txn_ts").alias("order_ts"))
-    by_order = o.join(op, F.col("order_uid") == F.col("_l"), "left").join(p, F.col("_r") == F.col("payment_uid"), "left").select(*_ORDER)
-    alone = p.join(op.select("_r"), F.col("payment_uid") == F.col("_r"), "left_anti").withColumns({"order_id": F.col("p_order_id"), "merchant_id": F.col("payment_merchant_id"), "currency": F.col("payment_currency")})
-    cases = by_order.unionByName(_padded(alone, by_order))
-    s = settlements.select(F.col("record_uid").alias("settlement_uid"), F.col("order_id").alias("s_order_id"), F.col("merchant_id").alias("s_merchant_id"), F.col("currency").alias("s_currency"), F.col("amount_minor").alias("settlement_amount_minor"), F.col("fee_minor").alias("settlement_fee_minor"), F.col("txn_ts").alias("settlement_ts"))
-    ps = ps_links.select(F.col("left_uid").alias("_l"), F.col("right_uid").alias("_r"), F.col("confidence").alias("ps_confidence"), F.col("time_delta_sec").alias("ps_time_delta_sec"))
-    settled = cases.join(ps, F.col("payment_uid") == F.col("_l"), "left").join(s, F.col("_r") == F.col("settlement_uid"), "left").select(*_ORDER, *_SETTLEMENT)
-    loose = s.join(ps.select("_r"), F.col("settlement_uid") == F.col("_r"), "left_anti").withColumns({"order_id": F.col("s_order_id"), "merchant_id": F.col("s_merchant_id"), "currency": F.col("s_currency"), "payment_merchant_id": F.col("s_merchant_id"), "payment_currency": F.col("s_currency"), "payment_is_refund": F.lit(False), "payment_fee_minor": F.lit(0).cast("long")})
-    every = settled.unionByName(_padded(loose, settled))
-    d = repeats.groupBy(F.col("record_uid").alias("_d")).agg(F.min("dupe_reason").alias("dupe_reason"))
-    x = every.join(d, F.col("payment_uid") == F.col("_d"), "left").withColumn("is_duplicate", F.col("_d").isNotNull()).drop("_d")
+    """One row a case, with its legs, deltas and type. Empty legs are fine; a repeat's reason is the first by name.
+
+    Payments take both links and their repeats in one partitioning by their uid; settlements and then orders join in full,
+    so that each leg is shuffled once and unlinked rows need no pass of their own. Rows without a partner get a key of
+    their own instead of a null, which would gather them all in one task.
+    """
+    c = F.col
+    p = payments.select(c("record_uid").alias("payment_uid"), c("order_id").alias("p_order_id"), c("merchant_id").alias("p_merchant_id"), c("currency").alias("p_currency"), c("amount_minor").alias("payment_amount_minor"), c("fee_minor").alias("p_fee_minor"), c("txn_ts").alias("payment_ts"), c("is_refund").alias("p_is_refund"))
+    op = op_links.select(c("right_uid").alias("_p1"), c("left_uid").alias("_o"), c("confidence").alias("op_confidence"), c("stage").alias("op_stage"), c("rule").alias("op_rule"), c("time_delta_sec").alias("op_time_delta_sec"))
+    ps = ps_links.select(c("left_uid").alias("_p2"), c("right_uid").alias("_s"), c("confidence").alias("ps_confidence"), c("time_delta_sec").alias("ps_time_delta_sec"))
+    d = repeats.groupBy(c("record_uid").alias("_d")).agg(F.min("dupe_reason").alias("dupe_reason"))
+    own = lambda link, *uids: F.coalesce(link, *[F.concat(F.lit("#"), u) for u in uids])
+    paid = p.join(op, c("payment_uid") == c("_p1"), "left").join(ps, c("payment_uid") == c("_p2"), "left").join(d, c("payment_uid") == c("_d"), "left").withColumn("_s", own(c("_s"), c("payment_uid")))
+    s = settlements.select(c("record_uid").alias("settlement_uid"), c("order_id").alias("s_order_id"), c("merchant_id").alias("s_merchant_id"), c("currency").alias("s_currency"), c("amount_minor").alias("settlement_amount_minor"), c("fee_minor").alias("settlement_fee_minor"), c("txn_ts").alias("settlement_ts"))
+    settled = paid.join(s, c("_s") == c("settlement_uid"), "full").withColumn("_o", own(c("_o"), c("payment_uid"), c("settlement_uid")))
+    o = orders.select(c("record_uid").alias("order_uid"), c("order_id").alias("o_order_id"), c("merchant_id").alias("o_merchant_id"), c("currency").alias("o_currency"), c("amount_minor").alias("order_amount_minor"), c("txn_ts").alias("order_ts"))
+    x = o.join(settled, c("order_uid") == c("_o"), "full")
+    loose = c("order_uid").isNull() & c("payment_uid").isNull()
+    of_leg = lambda n: F.when(c("order_uid").isNotNull(), c(f"o_{n}")).when(c("payment_uid").isNotNull(), c(f"p_{n}")).otherwise(c(f"s_{n}"))
+    x = x.withColumns({n: of_leg(n) for n in ("order_id", "merchant_id", "currency")} | {
+        "payment_merchant_id": F.when(loose, c("s_merchant_id")).otherwise(c("p_merchant_id")), "payment_currency": F.when(loose, c("s_currency")).otherwise(c("p_currency")),
+        "payment_is_refund": F.when(loose, F.lit(False)).otherwise(c("p_is_refund")), "payment_fee_minor": F.when(loose, F.lit(0).cast("long")).otherwise(c("p_fee_minor")), "is_duplicate": c("_d").isNotNull(),
+    })
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     by_rate = F.rint(zero("payment_amount_minor") * config.fee_bps / 10_000).cast("long")
     x = x.withColumns(

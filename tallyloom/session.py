@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Broadcasts are made only of tables whose rows were counted and found below this.
@@ -52,6 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(df) and its rows, counted while it is written."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return done, seen.get["n"]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path within the shared one."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
