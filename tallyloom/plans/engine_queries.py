@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from tallyloom.config import CONFIG, EngineConfig
 from tallyloom.functions.money import minor_units, rupees
 from tallyloom.operators import cascade, cases, duplicates, normalize, reports, verdicts
 from tallyloom.plans import legs, messy
-from tallyloom.session import checkpoint_dir, cut
+from tallyloom.session import at_once, checkpoint_dir, cut
 from tallyloom.sources.export import flattened
 from tallyloom.sources.generate import generate_dataset
 
@@ -37,11 +35,12 @@ _RUNS: dict[tuple[str, str], Run] = {}
 def reconcile(orders: DataFrame, payments: DataFrame, settlements: DataFrame, config: EngineConfig = CONFIG) -> Run:
     """The whole pass over three canonical legs: repeats, both cascades and cases. The cascades don't depend on each other and run side by side."""
     checkpoint_dir(orders.sparkSession)
-    with ThreadPoolExecutor(2) as pool:
-        first = pool.submit(inheritable_thread_target(orders.sparkSession)(cascade.run_cascade), orders, payments, cascade.ORDER_PAYMENT, config=config)
+
+    def second() -> tuple:
         repeats = cut(duplicates.repeated_payments(payments))
-        ps, ps_stats = cascade.run_cascade(payments, settlements, cascade.PAYMENT_SETTLEMENT, exclude_left=repeats, config=config, window_sec=config.settlement_sec)
-        op, op_stats = first.result()
+        return repeats, *cascade.run_cascade(payments, settlements, cascade.PAYMENT_SETTLEMENT, exclude_left=repeats, config=config, window_sec=config.settlement_sec)
+
+    (op, op_stats), (repeats, ps, ps_stats) = at_once(orders.sparkSession, lambda: cascade.run_cascade(orders, payments, cascade.ORDER_PAYMENT, config=config), second)
     stats = cascade.stats_frame(orders.sparkSession, op_stats, ps_stats)
     return Run(orders, payments, settlements, repeats, op, ps, stats, cut(cases.build_cases(orders, payments, settlements, op, ps, repeats, config)))
 
@@ -56,7 +55,8 @@ def run_of(spark: SparkSession, d: str) -> Run:
     key = (spark.sparkContext.applicationId, d)
     if key not in _RUNS:
         o = spark.read.parquet(f"{d}/orders.parquet")
-        _RUNS[key] = reconcile(cut(legs.orders_leg(o)), cut(legs.payments_leg(o)), cut(legs.settlements_leg(o)))
+        checkpoint_dir(spark)
+        _RUNS[key] = reconcile(*at_once(spark, *(partial(lambda leg: cut(leg(o)), leg) for leg in (legs.orders_leg, legs.payments_leg, legs.settlements_leg))))
     return _RUNS[key]
 
 
@@ -97,10 +97,10 @@ def ref_digits(spark, d):
 
 def _rule_query(leg: str, n: int, offset: int = 0):
     def query(spark, d):
-        run = run_of(spark, d)
+        o = _orders(spark, d)
         if leg == "op":
-            return cascade.single_pass(run.orders, run.payments, cascade.ORDER_PAYMENT[n], offset)
-        return cascade.single_pass(run.payments, run.settlements, cascade.PAYMENT_SETTLEMENT[n], offset, window_sec=CONFIG.settlement_sec)
+            return cascade.single_pass(legs.orders_leg(o), legs.payments_leg(o), cascade.ORDER_PAYMENT[n], offset)
+        return cascade.single_pass(legs.payments_leg(o), legs.settlements_leg(o), cascade.PAYMENT_SETTLEMENT[n], offset, window_sec=CONFIG.settlement_sec)
 
     return query
 

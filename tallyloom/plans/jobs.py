@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,7 @@ from tallyloom.config import CONFIG, EngineConfig
 from tallyloom.operators import reports
 from tallyloom.operators.normalize import normalize
 from tallyloom.plans.engine_queries import reconcile
+from tallyloom.session import at_once, checkpoint_dir
 from tallyloom.sources import datasets, export
 
 KINDS = {"orders": "ORDER", "payments": "PAYMENT", "settlements": "SETTLEMENT"}
@@ -36,10 +38,14 @@ def run_job(spark: SparkSession, tables: dict[str, DataFrame | str], folder: str
         return Outcome(folder, export.read_manifest(spark, f"{folder}/manifest"), COMPLETED)
     resumed = state.get("stage")
     if resumed != NORMALIZED:
-        for leg, kind in KINDS.items():
+
+        def write(leg: str, kind: str) -> None:
             source = tables[leg]
             df = export.load_any(spark, source) if isinstance(source, str) else source
             export.write_parquet(normalize(df, kind, (names or {}).get(leg, leg), (mappings or {}).get(leg)), f"{folder}/canonical/{leg}")
+
+        checkpoint_dir(spark)
+        at_once(spark, *(partial(write, leg, kind) for leg, kind in KINDS.items()))
         datasets.save_checkpoint(spark, folder, {"stage": NORMALIZED})
     normalized = time.time()
     legs = {leg: spark.read.parquet(f"{folder}/canonical/{leg}") for leg in KINDS}

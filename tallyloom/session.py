@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Broadcasts are made only of tables whose rows were counted and found below this.
@@ -53,10 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """cut(df) and its rows, counted while it is written."""
-    seen = Observation()
-    done = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return done, seen.get["n"]
+    """cut(df) and the number of its rows."""
+    done = cut(df)
+    return done, done.count()
+
+
+def at_once(spark: SparkSession, *tasks: Callable[[], object]) -> list:
+    """Results of tasks that don't depend on each other, run side by side so that their small jobs fill the cluster."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

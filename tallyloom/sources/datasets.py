@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.sources.export import load_any, write_parquet
@@ -80,10 +79,9 @@ def save_checkpoint(spark: SparkSession, folder: str, state: dict) -> None:
 
 
 def _states(spark: SparkSession, folder: str) -> list:
-    try:
-        return spark.read.schema("n int, state string").parquet(f"{folder}/checkpoint").orderBy("n").collect()  # a row a stage
-    except AnalysisException:
+    if not exists(spark, f"{folder}/checkpoint"):
         return []
+    return spark.read.schema("n int, state string").parquet(f"{folder}/checkpoint").orderBy("n").collect()  # a row a stage
 
 
 def load_checkpoint(spark: SparkSession, folder: str) -> dict:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.session import at_once
+
 
 def load_any(spark: SparkSession, path: str) -> DataFrame:
     """.parquet, .json (one array document), .ndjson or .jsonl, and anything else as CSV with a header and text columns."""
@@ -27,10 +30,10 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_run(run, path: str) -> None:
     """cases, exceptions and both link tables of a run under path."""
-    write_parquet(run.cases, f"{path}/recon")
-    write_parquet(run.cases.where("exception_type <> 'MATCHED'"), f"{path}/exceptions")
-    write_parquet(run.op_links.withColumn("leg", F.lit("order_payment")).unionByName(run.ps_links.withColumn("leg", F.lit("payment_settlement"))), f"{path}/links")
     spark = run.cases.sparkSession
+    links = run.op_links.withColumn("leg", F.lit("order_payment")).unionByName(run.ps_links.withColumn("leg", F.lit("payment_settlement")))
+    tables = {"recon": run.cases, "exceptions": run.cases.where("exception_type <> 'MATCHED'"), "links": links}
+    at_once(spark, *(partial(write_parquet, df, f"{path}/{name}") for name, df in tables.items()))
     stats = [r.asDict() for r in run.stats.collect()]  # a row a pass
     write_manifest(spark, f"{path}/manifest", {"cascade": stats})
 
