@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def minor_units(c: Column, numeric: bool, scale: int = 100) -> Column:
@@ -31,5 +34,26 @@ def rupees(minor: Column) -> Column:
 
 
 def with_display(df: DataFrame) -> DataFrame:
-    """df with a *_display column beside every *_minor column."""
-    return df.withColumns({f"{c.removesuffix('_minor')}_display": rupees(F.col(c)) for c, t in df.dtypes if c.endswith("_minor") and t in ("bigint", "int")})
+    """df with a *_display field beside every whole *_minor field, also within structs, arrays and values of maps, and names that end in it replaced."""
+    return df.select(*_displayed(df.schema, lambda n: F.col(f"`{n}`")))
+
+
+def _displayed(fields: T.StructType, of: Callable[[str], Column]) -> list[Column]:
+    shown = {f.name: f"{f.name.removesuffix('_minor')}_display" for f in fields if f.name.endswith("_minor") and isinstance(f.dataType, T.IntegerType | T.LongType)}
+    out = []
+    for f in fields:
+        if f.name not in shown.values():
+            out.append(_inner(of(f.name), f.dataType).alias(f.name))
+        if f.name in shown:
+            out.append(rupees(of(f.name)).alias(shown[f.name]))
+    return out
+
+
+def _inner(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.when(c.isNotNull(), F.struct(*_displayed(kind, c.getField)))
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.AtomicType):
+        return F.transform(c, lambda x: _inner(x, kind.elementType))
+    if isinstance(kind, T.MapType) and not isinstance(kind.valueType, T.AtomicType):
+        return F.transform_values(c, lambda _, x: _inner(x, kind.valueType))
+    return c

@@ -27,6 +27,8 @@ WEIGHTS = {"exact_txn_id": "0.40", "exact_order_id": "0.25", "exact_amount": "0.
 #: Pending sides are written anew once the links since the last time reach this share of them.
 REWRITE = 1.0
 ONE_PARTITION = 20_000
+#: Distinct lengths of references up to which pieces are made by length; beyond, all pieces are made.
+MOST_LENGTHS = 64
 #: Pairs of a swept rule that one task may hold, some 30 MB.
 SWEEP_PAIRS = 200_000
 
@@ -63,6 +65,8 @@ class Rule:
     right: Callable[[DataFrame, EngineConfig], DataFrame] = lambda df, c: df
     #: The keys are ids, of which each row has one: ranks then run in the join's own partitions.
     by_id: bool = False
+    #: The left key is a piece of order_id, of which only lengths that the right key has are made.
+    pieces: bool = False
 
 
 def score(evidence: tuple[str, ...], config: EngineConfig, window_sec: int) -> Column:
@@ -96,10 +100,14 @@ def _long_digits(df: DataFrame, _: EngineConfig) -> DataFrame:
     return df.where(F.length("ref_digits") >= 5)
 
 
-def _runs(df: DataFrame, _: EngineConfig) -> DataFrame:
-    """A row for every distinct substring of the digit runs of order_id: containment becomes equality."""
+def _runs(df: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """A row for every distinct substring of the digit runs of order_id: containment becomes equality. lengths: only of these."""
     runs = F.regexp_extract_all("order_id", F.lit(r"(\p{Nd}+)"), F.lit(1))
-    cuts = lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.length(r) - i + 1), lambda n: F.substring(r, i, n))))
+    if lengths is None:
+        cuts = lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.length(r) - i + 1), lambda n: F.substring(r, i, n))))
+    else:
+        some = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+        cuts = lambda r: F.flatten(F.transform(F.filter(some, lambda n: n <= F.length(r)), lambda n: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, n))))
     return df.where(F.length("order_id") >= 5).withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(runs, cuts)))))
 
 
@@ -133,7 +141,7 @@ ORDER_PAYMENT = (
     Rule("L3", "order_id_and_amount", (("order_id", "order_id"),), ("exact_order_id", *_ID), keep=_near_amount, left=_filled("order_id"), right=_filled("order_id"), by_id=True),
     Rule("L4", "order_id_within_window", (("order_id", "order_id"),), ("exact_order_id", *_ID), keep=_in_window, left=_filled("order_id"), right=_filled("order_id"), by_id=True),
     Rule("L2", "reference_digits_and_amount", (("ref_digits", "ref_digits"),), ("reference_digits", *_ID), keep=_near_amount, left=_long_digits, right=_long_digits, by_id=True),
-    Rule("L2", "order_id_inside_reference", (("piece", "ref_digits"),), ("reference_digits", *_ID), keep=_in_window, left=_runs, right=_filled("ref_digits")),
+    Rule("L2", "order_id_inside_reference", (("piece", "ref_digits"),), ("reference_digits", *_ID), keep=_in_window, left=lambda df, _: _runs(df), right=_filled("ref_digits"), pieces=True),
     Rule(
         "L5", "blocked_merchant_amount_day", (*_MC, ("bucket", "bucket")), _ID,
         keep=lambda c: (_apart() <= c.amount_bucket) & (F.abs(seconds_between()) <= c.window_sec) & ~contradicted(),
@@ -161,8 +169,12 @@ def _terms(rule: Rule, config: EngineConfig, window_sec: int) -> tuple[Column, l
 
 def candidates(left: DataFrame, right: DataFrame, rule: Rule, offset: int, config: EngineConfig, window_sec: int, terms: tuple[Column, list[Column]] | None = None) -> DataFrame:
     """All pairs that satisfy the rule, with deltas and confidence."""
-    a = rule.left(left.select(*NARROW), config)
     b = rule.right(right.select(*NARROW), config)
+    if rule.pieces:
+        sizes = [r[0] for r in b.select(F.length(rule.keys[0][1])).distinct().limit(MOST_LENGTHS + 1).collect()]
+        a = _runs(left.select(*NARROW), sizes if len(sizes) <= MOST_LENGTHS else None)
+    else:
+        a = rule.left(left.select(*NARROW), config)
     a, b = (x.toDF(*[f"{p}_{c}" for c in x.columns]) for x, p in ((a, "l"), (b, "r")))
     on = " and ".join(f"l_{x} = r_{y}" for x, y in rule.keys)
     if rule.day_sign:

@@ -80,6 +80,13 @@ class OrphanLedger:
         self.spark.createDataFrame(row, "epoch bigint, parts string").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifests")
         return replace(self, epoch=epoch)
 
+    def tidy(self, before: OrphanLedger) -> None:
+        """Deletes the parts of an earlier state that this one has no more; frames read from it must not be used after."""
+        mine = {p for parts in self.parts.values() for p, _ in parts}
+        for path in {p for parts in before.parts.values() for p, _ in parts} - mine:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def table(self, name: str) -> DataFrame:
         paths = [p for p, _ in self.parts[name]]
         reader = self.spark.read.schema(_SCHEMAS[name])

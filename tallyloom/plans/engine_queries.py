@@ -13,6 +13,7 @@ from tallyloom.functions.money import minor_units, rupees
 from tallyloom.operators import cascade, cases, duplicates, normalize, reports, verdicts
 from tallyloom.plans import legs, messy
 from tallyloom.session import at_once, checkpoint_dir, cut
+from tallyloom.sources.datasets import changed
 from tallyloom.sources.export import flattened
 from tallyloom.sources.generate import generate_dataset
 
@@ -29,7 +30,7 @@ class Run:
     cases: DataFrame
 
 
-_RUNS: dict[tuple[str, str], Run] = {}
+_RUNS: dict[tuple[str, str, int], Run] = {}
 
 
 def reconcile(orders: DataFrame, payments: DataFrame, settlements: DataFrame, config: EngineConfig = CONFIG) -> Run:
@@ -51,8 +52,8 @@ def forget() -> None:
 
 
 def run_of(spark: SparkSession, d: str) -> Run:
-    """The run over d's tables, computed once a session and kept in the shared folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """The run over d's tables, computed once a session and state of the table, and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, changed(spark, f"{d}/orders.parquet"))
     if key not in _RUNS:
         o = spark.read.parquet(f"{d}/orders.parquet")
         checkpoint_dir(spark)

@@ -21,6 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def changed(spark: SparkSession, path: str) -> int:
+    """When the file or folder at path was last changed, in milliseconds."""
+    fs, at = _fs(spark, path)
+    return fs.getFileStatus(at).getModificationTime()
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in path, the latest changed first; none if path is missing."""
     fs, at = _fs(spark, path)

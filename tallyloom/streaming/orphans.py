@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +20,7 @@ class OrphanStream:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.ledger = OrphanLedger.load(spark, folder)
+        self._before = self.ledger
 
     @property
     def last(self) -> int:
@@ -30,7 +33,10 @@ class OrphanStream:
         refs = batch.where("kind = 'reference'").select("child", "child_key", "ref", "at")
         parents = batch.where("kind in ('parent', 'deletion')").select("ref", F.when(F.col("kind") == "parent", F.col("at")).otherwise(none).alias("arrived"), F.when(F.col("kind") == "deletion", F.col("at")).otherwise(none).alias("deleted"))
         as_of = batch.agg(F.max("at")).first()[0]
+        older, self._before = self._before, self.ledger
         self.ledger = self.ledger.advance(refs, parents, as_of).commit(epoch)
+        both = {k: (*self.ledger.parts[k], *self._before.parts[k]) for k in self.ledger.parts}
+        replace(self.ledger, parts=both).tidy(older)  # what neither this state nor the one before it holds
 
     def start(self, events: DataFrame, checkpoint: str) -> StreamingQuery:
         """events: a streaming frame of EVENT; checkpoint: a shared folder for the stream's own progress."""

@@ -151,6 +151,9 @@ def test_money(spark):
     shown = spark.createDataFrame([(123_456_789,), (-5,), (None,), (100_000_000_000,)], "a_minor bigint")
     assert [r[0] for r in shown.select(rupees(F.col("a_minor"))).collect()] == ["Rs 12,34,567.89 (12.35 lakh)", "Rs -0.05", "-", "Rs 1,00,00,00,000.00 (100.00 crore)"]
     assert with_display(shown).columns == ["a_minor", "a_display"]
+    deep = spark.sql("select named_struct('x_minor', 5L, 'y', array(named_struct('z_minor', 100L), null)) as s, map('k', named_struct('v_minor', 7)) as m, 'old' as q_display, 1L as q_minor, cast(null as struct<n_minor:bigint>) as n")
+    row = with_display(deep).first()
+    assert row["s"]["x_display"] == "Rs 0.05" and row["s"]["y"][0]["z_display"] == "Rs 1.00" and row["s"]["y"][1] is None and row["m"]["k"]["v_display"] == "Rs 0.07" and row["q_display"] == "Rs 0.01" and row["n"] is None
 
 
 def test_normalize(spark, tmp_path):

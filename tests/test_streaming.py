@@ -37,3 +37,7 @@ def test_a_new_process_takes_the_ledger_up(spark, tmp_path):
     ledger = OrphanStream(spark, str(tmp_path / "ledger")).ledger
     assert {(r["child_key"], r["ref_state"]) for r in ledger.orphans().collect()} == {("p2", "deleted"), ("p3", "missing")}
     assert ledger.good.count() == 1 and ledger.table("snapshots").count() == 3
+    kept = OrphanStream(spark, str(tmp_path / "ledger"))
+    for i in range(3, 8):
+        kept.take(spark.createDataFrame([("parent", None, None, f"B{i}", t(i))], EVENT), i)
+    assert kept.ledger.table("index").select("ref").distinct().count() == 6 and len(list((tmp_path / "ledger" / "index").iterdir())) <= 8
